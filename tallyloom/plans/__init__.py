@@ -1,0 +1 @@
+"""Registered queries: each operator applied to the given tables, with its SQL twin."""
