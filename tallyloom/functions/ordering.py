@@ -18,6 +18,16 @@ from .stable import HASH_BITS
 SLICE = "__slice"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Repartition by ``key`` only if the scan has fewer splits than the cluster has cores.
+
+    A small or single-row-group file would otherwise run its CPU-heavy text work
+    in one task; a large input already has more splits and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def _finish(
     sliced: DataFrame,
     group: list[str],
