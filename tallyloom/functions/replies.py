@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: the patterns of a label, a score and a reason in free text
@@ -46,38 +48,36 @@ def json_object(text: Column) -> Column:
     return F.when(F.try_parse_json(body).isNotNull(), body)
 
 
-def _text_field(body: Column, key: str) -> Column:
-    v = F.try_variant_get(F.try_parse_json(body), f"$.{key}", "variant")
-    return F.when(F.schema_of_variant(v) == "STRING", F.nullif(strip(F.get_json_object(body, f"$.{key}")), F.lit("")))
-
-
-def parse_reason(text: Column) -> Column:
-    """Reason from the JSON object, a named part, or the whole text; '' for a bare label."""
-    s = strip(text)
-    body = json_object(s)
-    named = [_text_field(body, k) for k in ("reason", "explanation", "rationale")]
-    return F.when(s.isin("0", "1"), "").otherwise(F.coalesce(*named, strip(first_match(s, REASON_NAMED)), s))
-
+def with_reply_fields(df: DataFrame, text: str, fields: Sequence[str] = ("label", "reason", "score", "final_label")) -> DataFrame:
+    """Add the asked fields of a reply text.
 
-def parse_score(text: Column) -> Column:
-    """Verifier score 1..5: JSON whole number or digit text, ``score: n`` or ``n/5``; else null."""
-    s = strip(text)
-    value = strip(F.get_json_object(json_object(s), "$.score"))
-    value = F.when(value == "true", "1").otherwise(value)
-    from_json = F.when(value.rlike(r"^0*[1-5]$"), F.right(value, F.lit(1)))
-    return F.coalesce(from_json, first_match(s, SCORE_NAMED), first_match(s, SCORE_OF_FIVE)).cast("int")
+    label: 0 or 1 by :func:`parse_label`.  reason: the JSON keys reason,
+    explanation, rationale, else a named part, else the whole text, '' for a bare
+    label.  score: 1..5 from the JSON whole number or digit text, ``score: n`` or
+    ``n/5``.  final_label: the JSON keys final_label, label, answer, else the
+    label rule; JSON true and false count as 1 and 0.
 
-
-def parse_final_label(text: Column) -> Column:
-    """Label of the JSON keys final_label, label, answer in turn, else the label rule.
-
-    JSON true and false count as 1 and 0.
+    The text is trimmed and its JSON parsed once, in steps of their own; one
+    nested expression would repeat the parsing per field.
     """
-    s = strip(text)
-    body = json_object(s)
-
-    def pick(key: str) -> Column:
-        v = strip(F.get_json_object(body, f"$.{key}"))
-        return F.when(v.isin("1", "1.0", "true"), "1").when(v.isin("0", "0.0", "false"), "0")
-
-    return F.coalesce(*[pick(k) for k in ("final_label", "label", "answer")], parse_label(s).cast("string")).cast("int")
+    steps = df.withColumn("__s", strip(F.col(text))).withColumn("__body", json_object(F.col("__s")))
+    steps = steps.withColumn("__map", F.from_json("__body", "map<string,string>")).withColumn("__var", F.try_parse_json("__body"))
+    s, found = F.col("__s"), F.col("__map")
+
+    def text_key(key: str) -> Column:
+        kind = F.schema_of_variant(F.try_variant_get(F.col("__var"), f"$.{key}", "variant"))
+        return F.when(kind == "STRING", F.nullif(strip(found[key]), F.lit("")))
+
+    def binary_key(key: str) -> Column:
+        return F.when(strip(found[key]).isin("1", "1.0", "true"), 1).when(strip(found[key]).isin("0", "0.0", "false"), 0)
+
+    score = F.when(strip(found["score"]) == "true", "1").when(strip(found["score"]).rlike("^0*[1-5]$"), F.right(strip(found["score"]), F.lit(1)))
+    makers = {
+        "label": lambda: parse_label(s),
+        "reason": lambda: F.when(s.isin("0", "1"), "").otherwise(
+            F.coalesce(*[text_key(k) for k in ("reason", "explanation", "rationale")], strip(first_match(s, REASON_NAMED)), s)
+        ),
+        "score": lambda: F.coalesce(score, first_match(s, SCORE_NAMED), first_match(s, SCORE_OF_FIVE)).cast("int"),
+        "final_label": lambda: F.coalesce(*[binary_key(k) for k in ("final_label", "label", "answer")], parse_label(s)),
+    }
+    return steps.select(*df.columns, *[makers[f]().alias(f) for f in fields])

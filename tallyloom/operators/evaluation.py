@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.replies import parse_final_label, parse_label, parse_reason, parse_score
+from ..functions.replies import parse_label, with_reply_fields
 from ..functions.stable import stable_hash
 
 SWAP_MARK = "__swap"
@@ -153,11 +153,8 @@ def selective_prediction(voted: DataFrame, thresholds: Sequence[float]) -> DataF
 
 def parse_predictions(responses: DataFrame) -> DataFrame:
     """Replies to prediction rows; an unreadable label becomes -1 with a note."""
-    label = parse_label(F.col("text"))
-    rows = responses.withColumn("pred", F.coalesce(label, F.lit(-1)))
-    note = F.to_json(
-        F.struct(F.when(F.col("pred") < 0, True).alias("invalid_label"), F.col("sample_index"), parse_reason(F.col("text")).alias("reason"))
-    )
+    rows = with_reply_fields(responses, "text", ["label", "reason"]).withColumn("pred", F.coalesce("label", F.lit(-1)))
+    note = F.to_json(F.struct(F.when(F.col("pred") < 0, True).alias("invalid_label"), "sample_index", "reason"))
     return rows.select(
         "id", "method", "pred", "gold", (F.col("pred") == F.col("gold")).cast("int").alias("correct"), note.alias("notes"), "row_order"
     )
@@ -183,8 +180,9 @@ def rerank(candidates: DataFrame, verifier: DataFrame, missing_score: int = 0) -
         .select("candidate_id", "c.*")
     )
     said = (
-        verifier.groupBy("candidate_id").agg(F.max_by("text", "row_order").alias("vtext"))
-        .select("candidate_id", parse_score(F.col("vtext")).alias("score"), parse_final_label(F.col("vtext")).alias("final_label"))
+        with_reply_fields(
+            verifier.groupBy("candidate_id").agg(F.max_by("text", "row_order").alias("vtext")), "vtext", ["score", "final_label"]
+        ).select("candidate_id", "score", "final_label")
     )
     both = own.join(said, "candidate_id", "left").select(
         "candidate_id", "id", "gold", "label", "sample_index", "row_order",

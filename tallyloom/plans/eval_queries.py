@@ -176,10 +176,8 @@ SELECT row_order, CASE WHEN s IN ('0', '1') THEN '' ELSE coalesce(j->>'reason',
 coalesce(CASE WHEN regexp_matches(j->>'score', '^[1-5]$') THEN j->>'score' END, nullif(regexp_extract(s, '(?i)score\\s*[:：]?\\s*([1-5])\\b', 1), ''), nullif(regexp_extract(s, '\\b([1-5])\\s*/\\s*5\\b', 1), ''))::INTEGER AS score,
 coalesce(CASE WHEN j->>'final_label' = 'true' THEN 1 END, CASE WHEN j->>'label' IN ('0', '1') THEN (j->>'label')::INTEGER END, lab)::INTEGER AS final_label FROM b""")
 def ev_12(spark, d):
-    t = F.col("text")
-    return responses(spark, d).select(
-        "row_order", replies.parse_reason(t).alias("reason"), replies.parse_score(t).alias("score"), replies.parse_final_label(t).alias("final_label")
-    )
+    r = responses(spark, d).select("row_order", "text")
+    return replies.with_reply_fields(r, "text", ["reason", "score", "final_label"]).drop("text")
 
 
 @register("ev_13_parse_predictions", f"WITH {RESP} SELECT id, method, coalesce({_LABEL}, -1)::INTEGER AS pred, gold, (coalesce({_LABEL}, -1) = gold)::INTEGER AS correct, row_order FROM rs")
