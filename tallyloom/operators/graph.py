@@ -143,14 +143,24 @@ def extract_relations(questions: DataFrame, words: dict[str, str] = QUESTION_WOR
 
 
 def answer_questions(questions: DataFrame, edges: DataFrame, words: dict[str, str] = QUESTION_WORDS, mode: str = "all") -> DataFrame:
-    """``(qid, subject, answer)``; unanswerable questions keep a null answer."""
+    """``(qid, subject, answer)``; unanswerable questions keep a null answer.
+
+    Questions with the same subject and the same relations are one walk.
+    """
     ends = edge_ends(edges).select("name").distinct()
-    subjects = materialise(link_subject(questions, ends), "subjects")
-    steps = materialise(extract_relations(questions, words), "steps")
+    subjects = link_subject(questions, ends)
+    found = extract_relations(questions, words)
+    paths = found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("hop", "relation"))).alias("path"))  # one question's words
+    asked = materialise(subjects.join(paths, "qid", "left"), "asked")
+    walks = asked.filter("path is not null").select("subject", "path").distinct()
+    walks = materialise(walks.withColumn("qid", F.xxhash64("subject", F.to_json("path"))), "walks")
+    steps = walks.select("qid", F.explode("path").alias("s")).select("qid", "s.hop", "s.relation")
     hops = steps.agg(F.max("hop")).first()[0] or 0  # at most the number of relation words
-    reached = follow_relations(edges, subjects.withColumnRenamed("subject", "name"), steps, hops, mode)
+    reached = follow_relations(edges, walks.select("qid", F.col("subject").alias("name")), steps, hops, mode)
     answers = reached.filter("hop > 0").groupBy("qid").agg(F.min("name").alias("answer"))
-    return questions.select("qid").join(subjects, "qid", "left").join(answers, "qid", "left")
+    by_walk = walks.join(answers, "qid").select("subject", "path", "answer")
+    done = asked.join(by_walk, ["subject", "path"], "left").select("qid", "subject", "answer")
+    return questions.select("qid").join(done, "qid", "left")
 
 
 MERGE_KEY = ["head", "relation", "tail", "head_type", "tail_type"]

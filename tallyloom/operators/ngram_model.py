@@ -62,17 +62,21 @@ def adjusted_counts(top: DataFrame, order: int) -> DataFrame:
 
     The rows of order k+1 are distinct, so the number of distinct left words of
     a suffix is a plain row count: each lower order costs one partially combined
-    aggregation over the (smaller) order above.
+    aggregation over the (smaller) order above.  Each order is written once: left
+    lazy, the filters of the branches below would be pushed into the counting and
+    the corpus would be read once per order.
     """
     spark = top.sparkSession
-    levels = {order: top.select("words", F.col("raw").cast("bigint").alias("raw"), F.col("raw").cast("bigint").alias("adj"))}
+    raw = F.col("raw").cast("bigint")
+    levels = {order: materialise(top.select("words", raw.alias("raw"), raw.alias("adj")), f"counts{order}")}
     for k in range(order - 1, 0, -1):
         above = levels[k + 1]
         grouped = above.groupBy(suffix_of(F.col("words")).alias("words")).agg(
             F.sum("raw").alias("raw"), F.count(F.lit(1)).alias("lefts")
         )
         from_start = F.col("words").startswith(BOS + " ") | (F.col("words") == BOS)
-        levels[k] = grouped.select("words", "raw", F.when(from_start, F.col("raw")).otherwise(F.col("lefts")).alias("adj"))
+        adjusted = F.when(from_start, F.col("raw")).otherwise(F.col("lefts")).alias("adj")
+        levels[k] = materialise(grouped.select("words", "raw", adjusted), f"counts{k}")
     out = None
     for k, level in levels.items():
         rows = level.filter(~F.col("words").startswith(f"{BOS} {BOS}")) if k > 1 else level.filter(~F.col("words").isin(BOS, UNK))
@@ -260,11 +264,11 @@ def train(
     interpolate_unigrams: bool = True,
 ) -> DataFrame:
     """Corpus to model in one call."""
-    counts = materialise(adjusted_counts(ngram_counts(sentences, order), order), "counts", "order")
+    counts = adjusted_counts(ngram_counts(sentences, order), order)
     if thresholds:
         counts = prune(counts, thresholds)
     if vocab is not None:
-        counts = materialise(limit_vocabulary(counts, vocab), "limited", "order")
+        counts = materialise(limit_vocabulary(counts, vocab), "limited")
     return smooth(counts, order, fallback, vocab_pad, interpolate_unigrams)
 
 
@@ -277,6 +281,6 @@ def smooth(
 ) -> DataFrame:
     """Adjusted counts to model."""
     discounts = kn_discounts(count_of_counts(counts), fallback)
-    contexts = materialise(context_stats(counts, discounts), "contexts", "order")
+    contexts = materialise(context_stats(counts, discounts), "contexts")
     u = uninterpolated(counts, discounts, contexts, interpolate_unigrams)
     return interpolate_orders(u, contexts, order, vocab_pad)

@@ -140,8 +140,7 @@ def bench_lines(spark, d):
 
 
 def doc_counts(spark, d):
-    return shared(spark, d, "counts", lambda: materialise(
-        nm.adjusted_counts(nm.ngram_counts(docs(spark, d), ORDER), ORDER), "counts", "order"))
+    return shared(spark, d, "counts", lambda: nm.adjusted_counts(nm.ngram_counts(docs(spark, d), ORDER), ORDER))
 
 
 def doc_discounts(spark, d):
@@ -150,7 +149,7 @@ def doc_discounts(spark, d):
 
 def doc_contexts(spark, d):
     return shared(spark, d, "contexts", lambda: materialise(
-        nm.context_stats(doc_counts(spark, d), doc_discounts(spark, d)), "contexts", "order"))
+        nm.context_stats(doc_counts(spark, d), doc_discounts(spark, d)), "contexts"))
 
 
 def doc_u(spark, d):
@@ -159,11 +158,11 @@ def doc_u(spark, d):
 
 def doc_lm(spark, d):
     return shared(spark, d, "lm", lambda: materialise(
-        nm.interpolate_orders(doc_u(spark, d), doc_contexts(spark, d), ORDER), "lm", "order"))
+        nm.interpolate_orders(doc_u(spark, d), doc_contexts(spark, d), ORDER), "lm"))
 
 
 def conv_lm(spark, d):
-    return shared(spark, d, "clm", lambda: materialise(nm.train(convs(spark, d), ORDER, FALLBACK), "clm", "order"))
+    return shared(spark, d, "clm", lambda: materialise(nm.train(convs(spark, d), ORDER, FALLBACK), "clm"))
 
 
 def bench_vocab(spark, d):

@@ -264,7 +264,7 @@ def src_14(spark, d):
 @register("src_15_artifact_manifest", "SELECT event_type AS kind, count(*)::BIGINT AS lines, CASE WHEN event_type = 'click' THEN 'check' ELSE 'ok' END AS status FROM events GROUP BY 1")
 def src_15(spark, d):
     path = scratch_path(spark, "artifacts")
-    table(spark, d, "events").select("event_type", F.to_json(F.struct("event_id", "props")).alias("value")).repartition(1, "event_type").write.partitionBy("event_type").text(path)
+    table(spark, d, "events").select("event_type", F.to_json(F.struct("event_id", "props")).alias("value")).write.partitionBy("event_type").text(path)
     # one file per type is renamed by its folder, so the manifest is read folder by folder
     out = None
     for k in ("click", "error", "purchase", "signup", "view"):
@@ -276,10 +276,10 @@ def src_15(spark, d):
 
 @register("src_16_file_integrity", """SELECT event_type AS file, CASE event_type WHEN 'click' THEN 'missing' WHEN 'error' THEN 'hash mismatch' WHEN 'view' THEN 'too small' ELSE 'ok' END AS status FROM events GROUP BY 1""")
 def src_16(spark, d):
-    """One file per event type, checked against a manifest of its hashes."""
+    """Files per event type, checked against a manifest of their hashes."""
     path = scratch_path(spark, "files")
     e = table(spark, d, "events").select("event_type", "event_id")
-    e.repartition(1, "event_type").write.partitionBy("event_type").csv(path)
+    e.write.partitionBy("event_type").csv(path)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
     kind = F.regexp_extract("path", r"event_type=([^/]*)/", 1)
     listed = files.select(kind.alias("k"), F.regexp_extract("path", r"([^/]*)$", 1).alias("f"), F.sha2("content", 256).alias("h"), "length")
@@ -290,7 +290,7 @@ def src_16(spark, d):
             F.when(F.col("k") == "click", "gone").otherwise(F.col("f")).alias("file"), F.when(F.col("k") == "error", "0").otherwise(F.col("h")).alias("sha256"),
             F.when(F.col("k") == "view", F.col("length") + 1).otherwise(F.col("length")).alias("min_size"),
         )
-        r = st.file_integrity(spark, f"{path}/event_type={k}", m).select(F.lit(k).alias("file"), "status")
+        r = st.file_integrity(spark, f"{path}/event_type={k}", m).select(F.lit(k).alias("file"), "status").distinct()
         out = r if out is None else out.unionByName(r)
     return out
 
@@ -365,7 +365,7 @@ def trk_6b(spark, d):
     """The state machine on a file stream of the events."""
     src, out, mark = (scratch_path(spark, n) for n in ("det", "tracked", "mark"))
     rows = detections(spark, d)
-    rows.repartition(1).write.parquet(src)
+    rows.write.parquet(src)
     stream = spark.readStream.schema(rows.schema).parquet(src)
     tracked = tk.stream_track_reconnect(stream.withColumn("ts", F.col("ts").cast("timestamp")), RULES, "ts", "1 minute")
     tracked.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start().awaitTermination()

@@ -12,12 +12,14 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # hash joins where every post-shuffle partition is known to be small, sort-merge otherwise
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "128m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
 
-def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
+def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "16g") -> SparkSession:
     """A session for tests and benches; a cluster job brings its own."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -52,7 +54,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage in a way that outlives any executor, keeps column pruning
@@ -60,8 +62,5 @@ def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     """
     spark = df.sparkSession
     path = os.path.join(checkpoint_root(spark), "tables", f"{name}-{uuid.uuid4().hex}")
-    writer = df.write.mode("errorifexists").option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    df.write.mode("errorifexists").option("compression", "lz4").parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(df.columns)

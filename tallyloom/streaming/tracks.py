@@ -180,28 +180,30 @@ def track_reconnect(detections: DataFrame, rules: TrackRules) -> DataFrame:
         rows = rows.withColumn("segment", F.lit(0).cast("bigint"))
     ordered = rows.repartition("video_id", "segment").sortWithinPartitions("video_id", "segment", "frame", "raw_track_id")
 
+    names = [c.split()[0] for c in OUT_SCHEMA.split(", ")] + ["segment"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, number, held, state = None, None, [], None
+        key, number, held, state, out = None, None, [], None, []
 
-        def close() -> list[dict]:
-            return list(state.frame(number, _detections(held))) if held else []
+        def close() -> None:
+            for row in state.frame(number, _detections(held)) if held else ():
+                out.append({"video_id": key[0], "segment": key[1], **row})
 
         for pdf in batches:
-            out: dict[tuple, list[dict]] = {}
             for r in pdf.itertuples(index=False):
                 if (r.video_id, r.segment) != key or r.frame != number:
-                    out.setdefault(key, []).extend(close())
+                    close()
                     held = []
                     if (r.video_id, r.segment) != key:
                         key, state = (r.video_id, r.segment), Tracks(rules)
                     number = int(r.frame)
                 held.append(r)
-            for k, made in out.items():
-                if made:
-                    yield _frame(k[0], made).assign(segment=k[1])
-        made = close()
-        if made:
-            yield _frame(key[0], made).assign(segment=key[1])
+            if out:
+                yield pd.DataFrame(out, columns=names)
+                out.clear()
+        close()
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
     tracked = ordered.mapInPandas(run, OUT_SCHEMA + ", segment bigint")
     if not rules.evict:
