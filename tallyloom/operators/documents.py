@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,10 +98,13 @@ def clean_page_text(text: Column) -> Column:
 
 def group_layout_pages(layouts: DataFrame, doc: str, order: str, page: str, content: str) -> DataFrame:
     """Consecutive layout rows of one page number become one record, in order."""
-    by_doc = Window.partitionBy(doc).orderBy(order)  # the layout rows of one document
-    start = F.coalesce(F.lag(page).over(by_doc) != F.col(page), F.lit(True)).cast("int")
-    runs = layouts.withColumn("__s", start).withColumn("run", F.sum("__s").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = F.array_sort(F.collect_list(F.struct(order, content)))
+    ranked = rank_by_order(layouts.select(doc, order, page, content), [doc], [order], rank="__r")
+    before = ranked.select(doc, (F.col("__r") + 1).alias("__r"), F.col(page).alias("__p"))
+    flagged = ranked.join(before, [doc, "__r"], "left").withColumn(
+        "__s", F.when(F.col("__p") == F.col(page), 0).otherwise(1)
+    )
+    runs = rank_by_order(flagged.select(doc, order, page, content, "__s"), [doc], [order], rank=None, amount="__s", running="run")
+    parts = F.array_sort(F.collect_list(F.struct(order, content)))  # the layout rows of one page
     return runs.groupBy(doc, "run", page).agg(F.transform(parts, lambda s: s[content]).alias("content"))
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import lookup
+from ..functions.ordering import rank_by_order
 
 # fixed values: labels of one family
 FAMILIES = {
@@ -252,12 +253,17 @@ def stream_track_reconnect(detections: DataFrame, rules: TrackRules, time_col: s
 
 
 def line_crossings(tracked: DataFrame, keys: list[str], order: list[str], coordinate: str, line: float) -> DataFrame:
-    """First crossing of the line per track (half-open rule): ``(keys, order)``."""
-    w = Window.partitionBy(*keys).orderBy(*order)  # the positions of one track
-    before, now = F.lag(coordinate).over(w), F.col(coordinate)
-    marked = tracked.withColumn("__p", before)
-    hit = ((F.col("__p") < line) & (now >= line)) | ((now <= line) & (F.col("__p") > line))
-    return marked.filter(hit).groupBy(*keys).agg(F.min(F.struct(*order)).alias("__o")).select(*keys, "__o.*")
+    """First crossing of the line per track (half-open rule): ``(keys, order)``.
+
+    The position before comes from a join on (track, rank), so a track with very
+    many positions is spread over all tasks.
+    """
+    ranked = rank_by_order(tracked.select(*keys, *order, coordinate), keys, order, rank="__r")
+    before = ranked.select(*keys, (F.col("__r") + 1).alias("__r"), F.col(coordinate).alias("__p"))
+    now, was = F.col(coordinate), F.col("__p")
+    hit = ((was < line) & (now >= line)) | ((now <= line) & (was > line))
+    crossed = ranked.join(before, [*keys, "__r"]).filter(hit)
+    return crossed.groupBy(*keys).agg(F.min(F.struct(*order)).alias("__o")).select(*keys, "__o.*")
 
 
 def frame_records(tracked: DataFrame) -> DataFrame:
