@@ -59,6 +59,9 @@ class Lines(HTMLParser):
         self.parts: list[str] = []
         self.tags = self.linked = 0
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # line numbers are not needed
+
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text or self.tags:
@@ -103,7 +106,7 @@ class Lines(HTMLParser):
             self.p_at = at
         elif tag in SCOPE:
             self.p_at = -1
-        side = tag not in ("html", "body") and (tag in SIDE or self.hinted(tag, dict(attrs)))
+        side = tag in SIDE or (bool(attrs) or tag == "header") and tag not in ("html", "body") and self.hinted(tag, dict(attrs))
         if tag in ROOT:  # an article ends what was left open before it
             side, self.side, self.inner = False, False, True
         if tag in BLOCK:
