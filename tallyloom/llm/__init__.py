@@ -1,4 +1,4 @@
 """Operators for training-data pipelines, each with its query and, where SQL can express it, its SQL."""
 
-from . import decontaminate, html_text, mixing, quality, repeats, setjoin, topk, url_filter  # noqa: F401
+from . import decontaminate, html_text, lm_score, mixing, quality, repeats, setjoin, topk, url_filter  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
