@@ -118,11 +118,11 @@ def text_paragraphs(docs: DataFrame, doc: str, text: str, separator: str = "\n\n
     return docs.select(doc, F.posexplode(F.split(text, "\\Q" + separator + "\\E")).alias("pos", "text"))
 
 
-def profile_table(table: DataFrame, name: str, sample: int = 3) -> DataFrame:
-    """One row: column names, types, the row count and the first rows as markdown lines."""
+def profile_table(table: DataFrame, name: str, sample: int = 3, order: list[str] | None = None) -> DataFrame:
+    """One row: column names, types, the row count and the first rows by ``order`` (default: all columns) as markdown lines."""
     cols = table.columns
     line = F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
-    rows = table.limit(sample).select(line.alias("l")).agg(F.collect_list("l").alias("rows"))  # at most ``sample`` rows
+    rows = table.orderBy(*(order or cols)).limit(sample).select(line.alias("l")).agg(F.collect_list("l").alias("rows"))  # at most ``sample`` rows
     count = table.agg(F.count(F.lit(1)).alias("num_rows"))
     types = [t for _, t in table.dtypes]
     return count.join(F.broadcast(rows), F.lit(True)).select(
@@ -130,12 +130,11 @@ def profile_table(table: DataFrame, name: str, sample: int = 3) -> DataFrame:
     )
 
 
-def infer_types(rows: DataFrame, columns: list[str], first: int = 100) -> DataFrame:
-    """Narrowest of bigint, double, boolean, string that fits the first rows of text columns."""
-    head = rows.limit(first)
+def infer_types(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Narrowest of bigint, double, boolean, string that fits every row of text columns."""
     fits = lambda c, t: F.every(F.col(c).isNull() | F.expr(f"try_cast(`{c}` as {t}) is not null"))
     pick = lambda c: F.when(fits(c, "bigint"), "bigint").when(fits(c, "double"), "double").when(fits(c, "boolean"), "boolean").otherwise("string")
-    made = head.agg(*[pick(c).alias(c) for c in columns])
+    made = rows.agg(*[pick(c).alias(c) for c in columns])
     return made.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("type")) for c in columns])).alias("t")).select("t.*")
 
 

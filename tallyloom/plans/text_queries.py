@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.ordering import rank_by_order
 from ..functions.tokens import tokens_of
 from ..operators import documents as dc
 from ..operators import evaluation as ev
 from ..sources import tables as st
 from ..sources.arpa import scratch_path
+from ..sources.order import path_below
 from ..streaming import append as ap
 from ..streaming import tracks as tk
 from .eval_queries import _REPLY, PAIRS, PRED, _split, _spark, pairs, preds
@@ -68,12 +70,22 @@ def doc_6(spark, d):
     return p.select("name", F.array_join("columns", ",").alias("columns"), "num_rows", F.size("rows").alias("shown"))
 
 
-@register("doc_6_infer_types", "SELECT unnest(['k', 'v', 's', 'f']) AS \"column\", unnest(['bigint', 'double', 'string', 'boolean']) AS type")
+_FIT = "CASE WHEN bool_and({c} IS NULL OR TRY_CAST({c} AS BIGINT) IS NOT NULL AND NOT contains({c}, '.')) THEN 'bigint' WHEN bool_and({c} IS NULL OR TRY_CAST({c} AS DOUBLE) IS NOT NULL) THEN 'double' WHEN bool_and({c} IS NULL OR TRY_CAST({c} AS BOOLEAN) IS NOT NULL) THEN 'boolean' ELSE 'string' END"
+
+
+@register("doc_6_infer_types", f"""WITH o AS (SELECT o_orderkey::VARCHAR AS k, o_custkey || '.5' AS v, o_orderpriority AS s, CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END AS f,
+CASE WHEN o_orderkey = (SELECT max(o_orderkey) FROM orders) THEN 'late' ELSE o_orderkey::VARCHAR END AS l FROM orders)
+{" UNION ALL ".join(f"SELECT '{c}' AS " + '"column", ' + _FIT.format(c=c) + " AS type FROM o" for c in "kvsfl")}""")
 def doc_6b(spark, d):
-    o = table(spark, d, "orders").select(
-        F.col("o_orderkey").cast("string").alias("k"), F.concat("o_custkey", F.lit(".5")).alias("v"), F.col("o_orderpriority").alias("s"), F.lit("true").alias("f")
+    """The last order breaks the type of column l."""
+    orders = table(spark, d, "orders")
+    last = orders.agg(F.max("o_orderkey").alias("last"))  # one row
+    key = F.col("o_orderkey").cast("string")
+    o = orders.join(F.broadcast(last), F.lit(True)).select(
+        key.alias("k"), F.concat("o_custkey", F.lit(".5")).alias("v"), F.col("o_orderpriority").alias("s"),
+        F.when(F.col("o_orderkey") % 2 == 0, "true").otherwise("false").alias("f"), F.when(F.col("o_orderkey") == F.col("last"), "late").otherwise(key).alias("l"),
     )
-    return dc.infer_types(o, ["k", "v", "s", "f"])
+    return dc.infer_types(o, ["k", "v", "s", "f", "l"])
 
 
 @register("doc_7_equal_token_budget", f"WITH t AS (SELECT doc_id, source, {TOK} AS tk, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT doc_id, array_to_string(tk[1:(4000 // n)::INTEGER], ' ') AS kept FROM t")
@@ -205,11 +217,15 @@ def src_5(spark, d):
     return st.read_pairs(spark, path)
 
 
-@register("src_6_read_predictions", f"WITH {PRED} SELECT id, method, pred, gold, correct, '{{\"a\":\"x,' || chr(10) || 'y\"}}' AS notes FROM p")
+@register("src_6_read_predictions", f"""WITH {PRED} SELECT id, method, pred, gold, correct, '{{"a":"x,' || chr(10) || 'y"}}' AS notes,
+row_number() OVER (ORDER BY id::BIGINT, method, pred, gold, correct)::BIGINT AS line FROM p""")
 def src_6(spark, d):
+    """Written sorted into several files of different sizes; ``line`` is the rank by the reader's order."""
     path = scratch_path(spark, "predictions")
-    st.write_predictions(preds(spark, d).withColumn("notes", F.lit('{"a":"x,\ny"}')), path)
-    return st.read_predictions(spark, path).drop("row_order")
+    order = [F.col("id").cast("bigint"), *map(F.col, ("method", "pred", "gold", "correct"))]
+    p = preds(spark, d).withColumn("notes", F.lit('{"a":"x,\ny"}')).repartitionByRange(5, *order).sortWithinPartitions(*order)
+    st.write_predictions(p, path)
+    return rank_by_order(st.read_predictions(spark, path), [], ["row_order"], rank="line").drop("row_order")
 
 
 @register("src_7_read_responses", f"SELECT l_orderkey::VARCHAR AS id, l_linenumber::INTEGER AS sample_index, {_REPLY} AS text FROM lineitem")
@@ -265,13 +281,9 @@ def src_14(spark, d):
 def src_15(spark, d):
     path = scratch_path(spark, "artifacts")
     table(spark, d, "events").select("event_type", F.to_json(F.struct("event_id", "props")).alias("value")).write.partitionBy("event_type").text(path)
-    # one file per type is renamed by its folder, so the manifest is read folder by folder
-    out = None
-    for k in ("click", "error", "purchase", "signup", "view"):
-        m = st.artifact_manifest(spark, f"{path}/event_type={k}", F.lit(-1) if k == "click" else F.lit(None))
-        m = m.groupBy(F.lit(k).alias("kind")).agg(F.sum("lines").alias("lines"), F.max("status").alias("status") if k != "click" else F.min("status").alias("status"))
-        out = m if out is None else out.unionByName(m)
-    return out
+    kind = F.regexp_extract("file", r"event_type=([^/]*)/", 1)
+    m = st.artifact_manifest(spark, path, F.when(kind == "click", -1))
+    return m.groupBy(kind.alias("kind")).agg(F.sum("lines").alias("lines"), F.min("status").alias("status"))
 
 
 @register("src_16_file_integrity", """SELECT event_type AS file, CASE event_type WHEN 'click' THEN 'missing' WHEN 'error' THEN 'hash mismatch' WHEN 'view' THEN 'too small' ELSE 'ok' END AS status FROM events GROUP BY 1""")
@@ -282,17 +294,13 @@ def src_16(spark, d):
     e.write.partitionBy("event_type").csv(path)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
     kind = F.regexp_extract("path", r"event_type=([^/]*)/", 1)
-    listed = files.select(kind.alias("k"), F.regexp_extract("path", r"([^/]*)$", 1).alias("f"), F.sha2("content", 256).alias("h"), "length")
-    # part files of one task share a name, so each type is checked in its own folder
-    out = None
-    for k in ("click", "error", "purchase", "signup", "view"):
-        m = listed.filter(F.col("k") == k).select(
-            F.when(F.col("k") == "click", "gone").otherwise(F.col("f")).alias("file"), F.when(F.col("k") == "error", "0").otherwise(F.col("h")).alias("sha256"),
-            F.when(F.col("k") == "view", F.col("length") + 1).otherwise(F.col("length")).alias("min_size"),
-        )
-        r = st.file_integrity(spark, f"{path}/event_type={k}", m).select(F.lit(k).alias("file"), "status").distinct()
-        out = r if out is None else out.unionByName(r)
-    return out
+    m = files.select(
+        F.when(kind == "click", F.concat(path_below(spark, path, F.col("path")), F.lit(".gone"))).otherwise(path_below(spark, path, F.col("path"))).alias("file"),
+        F.when(kind == "error", "0").otherwise(F.sha2("content", 256)).alias("sha256"),
+        F.when(kind == "view", F.col("length") + 1).otherwise(F.col("length")).alias("min_size"),
+    )
+    checked = st.file_integrity(spark, path, m)
+    return checked.select(F.regexp_extract("file", r"event_type=([^/]*)/", 1).alias("file"), "status").distinct()
 
 
 # --------------------------------------------------------------------- tracks

@@ -34,7 +34,7 @@ def write_arpa(lm: DataFrame, path: str, order: int) -> None:
         F.col("order").alias("o"), F.lit(0).alias("kind"), F.lit("").alias("key"), F.concat(F.lit("\n\\"), number, F.lit("-grams:")).alias("value")
     )
     heads = counts.select(
-        F.lit(0).alias("o"), F.lit(1).alias("kind"), number.alias("key"), F.concat(F.lit("ngram "), number, F.lit("="), F.col("n")).alias("value")
+        F.lit(0).alias("o"), F.lit(1).alias("kind"), F.lpad(number, 10, "0").alias("key"), F.concat(F.lit("ngram "), number, F.lit("="), F.col("n")).alias("value")
     )
     ends = lm.sparkSession.createDataFrame(
         [(0, 0, "", "\\data\\"), (order + 1, 0, "", "\n\\end\\")], "o int, kind int, key string, value string"

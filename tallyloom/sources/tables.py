@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.replies import response_text, strip
 from ..functions.stable import stable_hash
+from .order import file_order, path_below
 
 PAIR_COLUMNS = ["id", "sent0", "sent1", "gold"]
 PAIR_SCHEMA = "id string, sent0 string, sent1 string, gold int"
@@ -30,7 +31,7 @@ def write_pairs(pairs: DataFrame, path: str) -> None:
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """Prediction rows with ``row_order`` following file and line order."""
-    return spark.read.options(**CSV).schema(PREDICTION_SCHEMA).csv(path).withColumn("row_order", F.monotonically_increasing_id())
+    return spark.read.options(**CSV).schema(PREDICTION_SCHEMA).csv(path).withColumn("row_order", file_order())
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
@@ -45,7 +46,7 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     missing = F.raise_error(F.concat(F.lit("no reply text for "), F.coalesce("id", F.lit("?")))).cast("string")
     return rows.select(
         "id", "method", "sample_index", "gold", "sent0", "sent1", "candidate_id", F.coalesce(value, missing).alias("text"),
-        F.monotonically_increasing_id().alias("row_order"),
+        file_order().alias("row_order"),
     )
 
 
@@ -86,22 +87,22 @@ def to_columnar(spark: SparkSession, path: str, out: str, schema: str, partition
 def read_metric_files(spark: SparkSession, path: str) -> DataFrame:
     """All metric CSVs of a folder with their file name."""
     rows = spark.read.option("header", "true").schema("method string, metric string, value double, split string, notes string").csv(path)
-    return rows.select("*", F.col("_metadata.file_name").alias("source"), F.monotonically_increasing_id().alias("row_order"))
+    return rows.select("*", F.col("_metadata.file_name").alias("source"), file_order().alias("row_order"))
 
 
 def artifact_manifest(spark: SparkSession, path: str, expected: Column) -> DataFrame:
-    """Lines per file against the expected number (null: any); ``expected`` reads column ``file``."""
+    """Lines per file against the expected number (null: any); ``expected`` reads ``file``, the path below the folder."""
     lines = spark.read.option("recursiveFileLookup", "true").text(path)
-    counted = lines.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("lines"))
+    counted = lines.groupBy(path_below(spark, path, F.col("_metadata.file_path")).alias("file")).agg(F.count(F.lit(1)).alias("lines"))
     checked = counted.withColumn("expected_lines", expected.cast("bigint"))
     ok = F.col("expected_lines").isNull() | (F.col("lines") == F.col("expected_lines"))
     return checked.withColumn("status", F.when(ok, "ok").otherwise("check"))
 
 
 def file_integrity(spark: SparkSession, path: str, manifest: DataFrame, hashes: bool = True) -> DataFrame:
-    """Manifest ``(file, sha256, min_size)`` against the files; content is only read for hashes."""
+    """Manifest ``(file, sha256, min_size)`` against the files by their path below the folder; content is only read for hashes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    name = path_below(spark, path, F.col("path"))
     found = files.select(name.alias("file"), F.col("length").alias("size"), *([F.sha2("content", 256).alias("actual")] if hashes else []))
     same = (F.col("sha256").isNull() | (F.col("actual") == F.col("sha256"))) if hashes else F.lit(True)
     status = (

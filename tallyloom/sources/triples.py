@@ -9,6 +9,7 @@ from ..functions.book_rules import DEFAULT_CATEGORY, DEFAULT_TYPE, QUESTION_WORD
 from ..functions.names import lookup
 from ..functions.replies import strip
 from ..operators.graph_clean import csv_safe
+from .order import file_order
 
 # fixed values: the names each field may have in JSON, in order of preference
 JSON_KEYS = {
@@ -29,7 +30,7 @@ def _filled(value: Column, name: str) -> Column:
 
 def read_triples(spark: SparkSession, path: str, synonyms: dict = QUESTION_WORDS) -> DataFrame:
     """Comma lines; comments, blank and short lines and lines without head, tail or relation are skipped."""
-    lines = spark.read.text(path).select(strip(F.col("value")).alias("value"), F.monotonically_increasing_id().alias("line_no"))
+    lines = spark.read.text(path).select(strip(F.col("value")).alias("value"), file_order().alias("line_no"))
     parts = F.transform(F.split("value", ","), strip)
     rows = lines.filter((F.col("value") != "") & ~F.col("value").startswith("#")).select("line_no", parts.alias("p")).filter(F.size("p") >= 5)
     order = ("head", "tail", "relation", "head_cate", "tail_cate", "head_type", "tail_type")
@@ -39,7 +40,7 @@ def read_triples(spark: SparkSession, path: str, synonyms: dict = QUESTION_WORDS
 
 def read_triples_json(spark: SparkSession, path: str, synonyms: dict = QUESTION_WORDS) -> DataFrame:
     """JSON lines with one object or a list of objects each; other lines are skipped."""
-    lines = spark.read.text(path).select(strip(F.col("value")).alias("value"), F.monotonically_increasing_id().alias("line_no"))
+    lines = spark.read.text(path).select(strip(F.col("value")).alias("value"), file_order().alias("line_no"))
     one = F.array(F.from_json("value", "map<string,string>"))
     many = F.from_json("value", "array<map<string,string>>")
     maps = lines.select("line_no", F.explode(F.when(F.col("value").startswith("["), many).otherwise(one)).alias("m")).filter("m is not null")
