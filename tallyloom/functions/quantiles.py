@@ -17,9 +17,9 @@ BUCKETS = 1024
 
 
 def exact_quantiles(df: DataFrame, columns: Mapping[str, Column], probs: Sequence[float]) -> dict[str, list[float]]:
-    """Linearly interpolated quantiles per column; nulls and NaNs are left out."""
+    """Linearly interpolated quantiles per column; nulls and values that are not finite are left out."""
     names = list(columns)
-    values = df.select(*[F.when(~F.isnan(c.cast("double")), c.cast("double")).alias(f"c{i}") for i, c in enumerate(columns.values())])
+    values = df.select(*[F.when(~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < math.inf), c.cast("double")).alias(f"c{i}") for i, c in enumerate(columns.values())])
     first = values.agg(
         *[f(f"c{i}").alias(f"{t}{i}") for i in range(len(names)) for t, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
     ).first()
@@ -43,7 +43,9 @@ def exact_quantiles(df: DataFrame, columns: Mapping[str, Column], probs: Sequenc
         cells = []
         for s, (i, lo, hi, _) in enumerate(open_spans):
             x = F.col(f"c{i}")
-            at = F.least(F.floor((x - lo) * (BUCKETS / (hi - lo))).cast("int"), F.lit(BUCKETS - 1))
+            # halves where the span itself is no finite number
+            share = (x - lo) / (hi - lo) if hi - lo < math.inf else (x / 2 - lo / 2) / (hi / 2 - lo / 2)
+            at = F.least(F.floor(share * BUCKETS).cast("int"), F.lit(BUCKETS - 1))
             cells.append(F.when((x >= lo) & (x <= hi), F.struct(F.lit(s).alias("s"), at.alias("b"), x.alias("x"))))
         counted = (
             values.select(F.explode(F.array_compact(F.array(*cells))).alias("v")).groupBy("v.s", "v.b")

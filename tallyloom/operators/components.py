@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import materialise
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(id, component)`` with the least id of the component, for every linked id.
 
     Each round hangs larger neighbours onto the smallest one (large step) and
@@ -21,7 +21,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     )
     edges = materialise(edges, "edges")
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -34,7 +34,5 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = edges.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)

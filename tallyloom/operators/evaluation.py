@@ -55,14 +55,17 @@ def order_consistency(original: DataFrame, swapped: DataFrame) -> DataFrame:
 
 
 def family_of(method: Column) -> Column:
-    """The method name without its last ``:`` part."""
-    cut = F.regexp_extract(method, r"^(.*):[^:]*$", 1)
-    return F.when(F.instr(method, ":") > 0, cut).otherwise(method)
+    """The method name without its last ``:`` part; null for a name without one."""
+    return F.when(F.instr(method, ":") > 0, F.regexp_extract(method, r"^(.*):[^:]*$", 1))
 
 
 def prompt_consistency(predictions: DataFrame) -> DataFrame:
-    """Per method family the share of items, with two predictions or more, that all agree."""
-    items = predictions.groupBy(family_of(F.col("method")).alias("family"), "id").agg(
+    """Per method family the share of items, with two predictions or more, that all agree.
+
+    Methods without a family are left out.
+    """
+    named = predictions.withColumn("family", family_of(F.col("method"))).filter("family is not null")
+    items = named.groupBy("family", "id").agg(
         F.count(F.lit(1)).alias("__n"), F.min("pred").alias("__lo"), F.max("pred").alias("__hi")
     )
     return items.filter("__n > 1").groupBy("family").agg(
@@ -110,9 +113,9 @@ def uncertainty(predictions: DataFrame) -> DataFrame:
     votes = predictions.filter(F.col("pred").isin(0, 1)).groupBy("id", "pred").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("row_order", "gold")).alias("__first")
     )
-    best = F.struct(F.col("n"), -F.col("__first.row_order"))
+    best = F.struct(-F.col("n"), F.col("__first.row_order"))
     voted = votes.groupBy("id").agg(
-        F.max_by("pred", best).alias("pred"), F.min("__first").alias("__first"), F.max("n").alias("__top"), F.sum("n").alias("samples")
+        F.min_by("pred", best).alias("pred"), F.min("__first").alias("__first"), F.max("n").alias("__top"), F.sum("n").alias("samples")
     )
     gold = F.col("__first.gold")
     return voted.select(

@@ -46,9 +46,14 @@ def upsert_edges(edges: DataFrame, book: str | None = None) -> DataFrame:
     return edges.select(*EDGE, *([book] if book else [])).distinct()
 
 
+#: The characters that a partition folder's name holds escaped.
+UNSAFE = "\"#%'*/:=?\\\x7f{[]^"
+
+
 def replace_book(edges: DataFrame, path: str, book: str) -> None:
     """Overwrite one book's partition folder only; an empty slice empties it."""
-    edges.drop("book").write.mode("overwrite").parquet(f"{path}/book={book}")
+    folder = "".join(f"%{ord(c):02X}" if c in UNSAFE or ord(c) < 32 else c for c in book)
+    edges.drop("book").write.mode("overwrite").parquet(f"{path}/book={folder}")
 
 
 def neighbors(edges: DataFrame, name: str | None, book: str | None = None, sample: int = 10) -> DataFrame:
@@ -56,7 +61,7 @@ def neighbors(edges: DataFrame, name: str | None, book: str | None = None, sampl
     if book is not None:
         edges = edges.filter(F.col("book") == book)
     if not name or not name.strip():
-        return edges.limit(sample).withColumn("direction", F.lit("sample"))
+        return edges.orderBy(*edges.columns).limit(sample).withColumn("direction", F.lit("sample"))
     into = edges.filter(F.col("tail") == name).withColumn("direction", F.lit("in"))
     return into.unionByName(edges.filter(F.col("head") == name).withColumn("direction", F.lit("out")))
 

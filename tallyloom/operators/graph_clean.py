@@ -374,14 +374,14 @@ def entity_modes(edges: DataFrame) -> DataFrame:
     def counted(column: str) -> DataFrame:
         return ends.groupBy("name", column).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
 
-    rank = F.struct(F.col("n"), -F.col("first.line_no"), -F.col("first.side"))
+    rank = F.struct(-F.col("n"), F.col("first"))
     types = counted("etype").groupBy("name").agg(
-        F.max_by("etype", rank).alias("type_mode"), (F.max("n") / F.sum("n")).alias("type_share")
+        F.min_by("etype", rank).alias("type_mode"), (F.max("n") / F.sum("n")).alias("type_share")
     )
     known = F.col("cate") != DEFAULT_CATEGORY
     cates = counted("cate").groupBy("name").agg(
-        F.max_by("cate", rank).alias("__any"),
-        F.max_by(F.when(known, F.struct("cate", "n")), F.when(known, rank)).alias("__known"),
+        F.min_by("cate", rank).alias("__any"),
+        F.min_by(F.when(known, F.struct("cate", "n")), F.when(known, rank)).alias("__known"),
         F.sum("n").alias("__t"),
     )
     strong = (F.col("__known.n") / F.col("__t") >= 0.6) | (F.col("__known.n") >= 3)

@@ -167,12 +167,15 @@ def _phrase_hits(ngrams: DataFrame, phrases: DataFrame, max_len: int) -> tuple[D
     return good.groupBy("words", "block").agg(F.bit_or("mask").alias("mask")), free
 
 
-def filter_phrase(ngrams: DataFrame, phrases: DataFrame, mode: str = "union", max_len: int = 6) -> DataFrame:
+def filter_phrase(ngrams: DataFrame, phrases: DataFrame, mode: str = "union", max_len: int | None = None) -> DataFrame:
     """Keep n-grams that phrases of one sentence, clipped at both ends, can spell.
 
     ``phrases(sent_id, phrase)`` with single spaces.  A leading tag is skipped and
-    the n-gram stops at the end mark; nothing left means keep.
+    the n-gram stops at the end mark; nothing left means keep.  ``max_len``, the
+    words of the longest segment, is by default that of the longest n-gram.
     """
+    if max_len is None:
+        max_len = ngrams.agg(F.max(F.size(F.split("words", " ")))).first()[0] or 1
     good, free = _phrase_hits(ngrams, phrases, max_len)
     if mode == "union":
         return ngrams.join(good.select("words").distinct().unionByName(free), "words", "left_semi")

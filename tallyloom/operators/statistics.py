@@ -14,10 +14,14 @@ from ..functions.stable import HASH_BITS
 
 
 def paired_join(a: DataFrame, b: DataFrame, key: str, value: str, weights: Sequence[str], order: str | None = None) -> DataFrame:
-    """``(key, a, b, delta, weight)``; in b the last duplicate of a key wins."""
+    """``(key, a, b, delta, weight)``; in b the last duplicate of a key wins.
+
+    The weight is the first of ``weights`` that is neither null nor empty text,
+    else 1; a zero counts.
+    """
     if order:
         b = b.groupBy(key).agg(F.max_by(value, order).alias(value))
-    w = F.coalesce(*[F.nullif(F.col(c).cast("double"), F.lit(0.0)) for c in weights], F.lit(1.0))
+    w = F.coalesce(*[F.nullif(F.col(c).cast("string"), F.lit("")).cast("double") for c in weights], F.lit(1.0))
     left = a.select(key, F.col(value).alias("a"), w.alias("weight"))
     return left.join(b.select(key, F.col(value).alias("b")), key).select(key, "a", "b", (F.col("a") - F.col("b")).alias("delta"), "weight")
 
@@ -38,7 +42,10 @@ def paired_summary(pairs: DataFrame) -> DataFrame:
 
 
 def poisson_cuts(limit: int = 12) -> list[int]:
-    """Hash values at which a Poisson(1) draw grows by one."""
+    """Hash values at which a Poisson(1) draw grows by one.
+
+    The chance of a draw above ``limit`` is below the resolution of a 32-bit hash.
+    """
     cuts, total, term = [], 0.0, math.exp(-1.0)
     for k in range(limit):
         total += term

@@ -86,10 +86,14 @@ def ev_4(spark, d):
     return r6(ev.order_consistency(p, s), "consistency")
 
 
-@register("ev_5_prompt_consistency", f"""WITH {PRED}, i AS (SELECT regexp_extract(method, '^(.*):[^:]*$', 1) AS family, id, count(*) AS c, min(pred) AS lo, max(pred) AS hi FROM p GROUP BY ALL)
+@register("ev_5_prompt_consistency", f"""WITH {PRED}, m AS (SELECT CASE WHEN id::BIGINT % 3 = 0 THEN replace(method, ':', '_') ELSE method END AS method, id, pred FROM p),
+i AS (SELECT regexp_extract(method, '^(.*):[^:]*$', 1) AS family, id, count(*) AS c, min(pred) AS lo, max(pred) AS hi FROM m WHERE contains(method, ':') GROUP BY ALL)
 SELECT family, {R6('avg((lo = hi)::INTEGER)', 'consistency')}, count(*)::BIGINT AS n FROM i WHERE c > 1 GROUP BY 1""")
 def ev_5(spark, d):
-    return r6(ev.prompt_consistency(preds(spark, d)), "consistency")
+    """Every third item's methods have no family."""
+    p = preds(spark, d)
+    bare = F.when(F.col("id").cast("bigint") % 3 == 0, F.translate("method", ":", "_")).otherwise(F.col("method"))
+    return r6(ev.prompt_consistency(p.withColumn("method", bare)), "consistency")
 
 
 _VOTE = """v AS (SELECT {k}, pred, count(*) AS n FROM p GROUP BY ALL),

@@ -232,16 +232,16 @@ def cv_23(spark, d):
 
 
 # ------------------------------------------------------------------ statistics
-_PJ = """pa AS (SELECT l_partkey AS k, avg(l_extendedprice) AS v, (count(*) % 4)::DOUBLE AS w1, (count(*) % 3)::DOUBLE AS w2 FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
+_PJ = """pa AS (SELECT l_partkey AS k, avg(l_extendedprice) AS v, nullif(count(*) % 4, 3)::DOUBLE AS w1, nullif(count(*) % 3, 2)::DOUBLE AS w2 FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
 pb AS (SELECT l_partkey AS k, avg(l_extendedprice) AS v FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1),
-pj AS (SELECT pa.k, pa.v AS a, pb.v AS b, pa.v - pb.v AS delta, coalesce(nullif(w1, 0), nullif(w2, 0), 1) AS weight FROM pa JOIN pb USING (k))"""
+pj AS (SELECT pa.k, pa.v AS a, pb.v AS b, pa.v - pb.v AS delta, coalesce(w1, w2, 1) AS weight FROM pa JOIN pb USING (k))"""
 
 
 def pairs(spark, d):
     li = table(spark, d, "lineitem").select("l_partkey", "l_returnflag", "l_extendedprice")
     n = F.count(F.lit(1))
     a = li.filter("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("k")).agg(
-        F.avg("l_extendedprice").alias("v"), (n % 4).alias("w1"), (n % 3).alias("w2")
+        F.avg("l_extendedprice").alias("v"), F.nullif(n % 4, F.lit(3)).alias("w1"), F.nullif(n % 3, F.lit(2)).alias("w2")
     )
     b = li.filter("l_returnflag = 'N'").groupBy(F.col("l_partkey").alias("k")).agg(F.avg("l_extendedprice").alias("v"))
     return st.paired_join(a, b, "k", "v", ["w1", "w2"])

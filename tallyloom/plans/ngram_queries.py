@@ -427,7 +427,7 @@ def lm_19b(spark, d):
 bt AS (SELECT tokens, unnest(range(1, len(tokens) - 1)) AS i FROM bs WHERE len(tokens) >= 3),
 pt AS (SELECT DISTINCT tokens[i] || ' ' || tokens[i + 1] AS source, tokens[i + 2] AS word FROM bt),
 cr AS (SELECT conv_id, turn, tokens, unnest(range(1, len(tokens))) AS i FROM cs WHERE len(tokens) >= 2)
-SELECT DISTINCT conv_id * 1000 + turn AS sent_id, word FROM (
+SELECT DISTINCT conv_id, turn, word FROM (
   SELECT conv_id, turn, unnest(tokens) AS word FROM cs
   UNION ALL SELECT conv_id, turn, pt.word FROM cr JOIN pt ON pt.source = tokens[i] || ' ' || tokens[i + 1])""")
 def lm_20(spark, d):
@@ -436,8 +436,8 @@ def lm_20(spark, d):
     pt = at.select(
         F.array_join(F.slice("tokens", F.col("i"), F.lit(2)), " ").alias("source"), F.element_at("tokens", F.col("i") + 2).alias("target")
     )
-    s = convs(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("sent_id"), "tokens")
-    return nf.phrase_table_vocab(s, pt)
+    s = convs(spark, d).select(F.struct("conv_id", "turn").alias("sent_id"), "tokens")
+    return nf.phrase_table_vocab(s, pt).select("sent_id.*", "word")
 
 
 @register("lm_21_copy", f"WITH {CONV}, {CMODEL} SELECT ord::INTEGER AS ord, words, {D6('prob')}, {D6('backoff')} FROM clm")

@@ -338,14 +338,14 @@ def prep_22b(spark, d):
     return prep.char_occurrence_labels(table(spark, d, "conversations"), ["conv_id", "turn"], "text", before_only=False)
 
 
-@register("prep_23_build_index", f"""WITH {DT}, w AS (SELECT unnest(toks) AS word, doc_id * 1000000 + generate_subscripts(toks, 1) - 1 AS o FROM dt), f AS (SELECT word, min(o) AS o FROM w GROUP BY 1)
+@register("prep_23_build_index", f"""WITH {DT}, w AS (SELECT unnest(toks) AS word, (doc_id, generate_subscripts(toks, 1)) AS o FROM dt), f AS (SELECT word, min(o) AS o FROM w GROUP BY 1)
 SELECT word, (row_number() OVER (ORDER BY o) - 1)::BIGINT AS id FROM f""")
 def prep_23(spark, d):
     w = docs_tok(spark, d).select("doc_id", F.posexplode("toks").alias("i", "word"))
-    return prep.build_index(w.select("word", (F.col("doc_id") * 1000000 + F.col("i")).alias("o")), "word", "o")
+    return prep.build_index(w.select("word", F.struct("doc_id", "i").alias("o")), "word", "o")
 
 
-@register("prep_23_look_up", f"""WITH {DT}, w AS (SELECT unnest(toks) AS word, doc_id * 1000000 + generate_subscripts(toks, 1) - 1 AS o FROM dt), f AS (SELECT word, min(o) AS o FROM w GROUP BY 1),
+@register("prep_23_look_up", f"""WITH {DT}, w AS (SELECT unnest(toks) AS word, (doc_id, generate_subscripts(toks, 1)) AS o FROM dt), f AS (SELECT word, min(o) AS o FROM w GROUP BY 1),
 ix AS (SELECT word, (row_number() OVER (ORDER BY o) - 1)::BIGINT AS id FROM f), q AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[\\t\\n\\r ]+')) AS word FROM conversations)
 SELECT word, coalesce(id, -1)::BIGINT AS id FROM q LEFT JOIN ix USING (word) WHERE word <> ''""")
 def prep_23b(spark, d):
