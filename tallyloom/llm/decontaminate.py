@@ -25,7 +25,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import kernels as K
 from .registry import register, table
@@ -191,17 +190,17 @@ def leaks(docs: DataFrame, doc_id: str, text: str, benchmark: DataFrame, item_id
 
 
 def without_leaks(docs: DataFrame, text: str, carry: Sequence[str], benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
-    """The ``carry`` columns of the rows that hold no item."""
-    out = docs
+    """The ``carry`` columns, ``text`` among them, of the rows that hold no item."""
+    out, at = docs.select(*carry), list(carry).index(text)
     for items in item_blocks(benchmark, item_id, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def clean(batches, shared=shared):
             for batch in batches:
-                keep = pa.array([not f for f in found_in(batch.column(0), shared.value)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[1:]], names=list(carry))
+                keep = pa.array([not f for f in found_in(batch.column(at), shared.value)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns], names=list(carry))
 
-        out = out.select(F.col(text).alias("__text"), *carry).mapInArrow(clean, T.StructType([docs.schema[c] for c in carry]))
+        out = out.mapInArrow(clean, out.schema)
     return out
 
 

@@ -156,14 +156,15 @@ def with_score(docs: DataFrame, text: str, carry: Sequence[str], voters: Voters,
     """
     shared = docs.sparkSession.sparkContext.broadcast(voters)
     schema = T.StructType([*(docs.schema[c] for c in carry), T.StructField(name, T.DoubleType())])
+    read = list(dict.fromkeys([*carry, text]))
 
     def score(batches):
         for batch in batches:
-            got = [shared.value.scores(features(data, offsets)) for _, _, data, offsets in K.chunks(batch.column(0))]
+            got = [shared.value.scores(features(data, offsets)) for _, _, data, offsets in K.chunks(batch.column(read.index(text)))]
             scores = pa.array(np.concatenate(got) if got else np.zeros(0), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], scores], names=[*carry, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], scores], names=[*carry, name])
 
-    return docs.select(F.col(text).alias("__text"), *[F.col(c) for c in carry]).mapInArrow(score, schema)
+    return docs.select(*read).mapInArrow(score, schema)
 
 
 @register("op3_quality_votes")

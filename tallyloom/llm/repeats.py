@@ -324,10 +324,15 @@ def merged(spans, length: int, size: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def without_repeats(docs: DataFrame, doc_id: str, text: str, carry: list[str], length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """The ``carry`` columns of every row with ``__kept`` (BINARY, the bytes that are left), ``__bytes``, ``__removed``, ``__runs``.
+def without_repeats(
+    docs: DataFrame, doc_id: str, text: str, carry: list[str], length: int = LENGTH, gram: int = GRAM, as_text: bool = False
+) -> DataFrame:
+    """The ``carry`` columns of every row with ``__kept``, ``__bytes``, ``__removed``, ``__runs``.
 
-    A null text is empty; texts under ``length`` bytes keep all.  Equal rows are
+    ``__kept`` is the BINARY of the bytes that are left or, ``as_text``, the
+    STRING of the characters that are left whole.
+
+    A null text is empty (and null as text); texts under ``length`` bytes keep all.  Equal rows are
     copies of each other, and so are equal texts under different ids: all lose
     their text.  A null id is an id.  Other columns are ignored.
     """
@@ -339,7 +344,7 @@ def without_repeats(docs: DataFrame, doc_id: str, text: str, carry: list[str], l
     kinds = T.StructType(
         [
             T.StructField("__row", keyed.schema["__row"].dataType),
-            T.StructField("__kept", T.BinaryType()),
+            T.StructField("__kept", T.StringType() if as_text else T.BinaryType()),
             *(T.StructField(c, T.LongType()) for c in ("__bytes", "__removed", "__runs")),
         ]
     )
@@ -351,12 +356,16 @@ def without_repeats(docs: DataFrame, doc_id: str, text: str, carry: list[str], l
                 raw = (content or "").encode()
                 ranges = merged(found, length, len(raw))
                 stops = [0, *(b for _, b in ranges)]
-                kept.append(b"".join(raw[a:b] for a, b in zip(stops, [*(a for a, _ in ranges), len(raw)], strict=True)))
+                parts = [raw[a:b] for a, b in zip(stops, [*(a for a, _ in ranges), len(raw)], strict=True)]
+                if as_text:
+                    kept.append(None if content is None else "".join(x.decode(errors="ignore") for x in parts))
+                else:
+                    kept.append(b"".join(parts))
                 sizes.append(len(raw))
-                removed.append(len(raw) - len(kept[-1]))
+                removed.append(len(raw) - sum(map(len, parts)))
                 runs.append(len(ranges))
             numbers = [pa.array(x, pa.int64()) for x in (sizes, removed, runs)]
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(kept, pa.binary()), *numbers], names=["__row", "__kept", "__bytes", "__removed", "__runs"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(kept, pa.string() if as_text else pa.binary()), *numbers], names=["__row", "__kept", "__bytes", "__removed", "__runs"])
 
     out = joined.select("__text", "spans", "__row").mapInArrow(cut, kinds)
     return out.select(*[F.col("__row")[c].alias(c) for c in carry], "__kept", "__bytes", "__removed", "__runs")
