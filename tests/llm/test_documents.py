@@ -275,7 +275,8 @@ def test_token_count_ties(bytes_known):
 # Jaccard join
 
 
-def components(docs, k, percent):
+def linked_groups(docs, k, percent):
+    """The set size and the group number of each row; rows without a set are groups of their own."""
     sets = []
     for i, (d, t) in enumerate(docs):
         w = cases.words(cases.lower(t))
@@ -291,11 +292,15 @@ def components(docs, k, percent):
         for j, _, b in sets[:i]:
             if a and b and 100 * len(a & b) >= percent * len(a | b):
                 up[top(i)] = top(j)
-    least: dict = {}
-    for i, d, _ in sets:
+    return [(len(s), top(i)) for i, _, s in sets]
+
+
+def components(docs, k, percent):
+    groups, least = linked_groups(docs, k, percent), {}
+    for (d, _), (_, g) in zip(docs, groups, strict=True):
         if d is not None:
-            least[top(i)] = min(least.get(top(i), d), d)
-    return [(d, len(s), least.get(top(i)) if s else d) for i, d, s in sets]
+            least[g] = min(least.get(g, d), d)
+    return [(d, n, least.get(g) if n else d) for (d, _), (n, g) in zip(docs, groups, strict=True)]
 
 
 @pytest.mark.parametrize("case", ["edge", "bands", "real"])
