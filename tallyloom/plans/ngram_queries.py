@@ -281,9 +281,9 @@ def lm_6(spark, d):
 
 
 @register("lm_7_limit_vocab", f"""WITH {DOC}, {COUNTS}, {BENCH}, {BV},
-out_w AS (SELECT DISTINCT ord, words FROM (SELECT ord, words, unnest(string_split(words, ' ')) AS word FROM adj)
-  WHERE word NOT IN ('<s>', '</s>', '<unk>') AND word NOT IN (SELECT word FROM bv))
-SELECT adj.ord::INTEGER AS ord, adj.words, (out_w.words IS NOT NULL) AS pruned FROM adj LEFT JOIN out_w USING (ord, words)""")
+kv AS MATERIALIZED (SELECT word FROM bv UNION SELECT unnest(['', '<s>', '</s>', '<unk>']))
+SELECT ord::INTEGER AS ord, words, (a.word IS NULL OR b.word IS NULL OR c.word IS NULL) AS pruned FROM adj
+LEFT JOIN kv a ON a.word = split_part(words, ' ', 1) LEFT JOIN kv b ON b.word = split_part(words, ' ', 2) LEFT JOIN kv c ON c.word = split_part(words, ' ', 3)""")
 def lm_7(spark, d):
     limited = nm.limit_vocabulary(doc_counts(spark, d), bench_vocab(spark, d))
     return limited.select(F.col("order").alias("ord"), "words", "pruned")
@@ -357,16 +357,29 @@ def _plain(text: str = "words") -> str:
     return f"list_distinct(list_filter(string_split({text}, ' '), lambda w: w <> '' AND NOT (starts_with(w, '<') AND ends_with(w, '>'))))"
 
 
+TAG = "(starts_with({w}, '<') AND ends_with({w}, '>'))"
+_PART = [f"split_part(words, ' ', {i})" for i in (1, 2, 3)]
+
+
+def _known_sql(vocab: str, source: str = "g", text: str = "words") -> str:
+    """``gk``: the trigrams whose words are all tags or in the vocabulary; others can meet no sentence."""
+    parts = [p.replace("(words,", f"({text},") for p in _PART]
+    joins = "".join(f" LEFT JOIN kv k{i} ON k{i}.word = {p}" for i, p in enumerate(parts))
+    return f"""kv AS MATERIALIZED (SELECT DISTINCT word FROM {vocab}),
+gk AS MATERIALIZED (SELECT g.* FROM {source} g{joins} WHERE {" AND ".join(f"(k{i}.word IS NOT NULL OR {p} = '' OR {TAG.format(w=p)})" for i, p in enumerate(parts))})"""
+
+
 def _set_sql(text: str) -> str:
-    return f"""gw AS (SELECT words, {_plain(text)} AS ws FROM g),
+    return f"""{_known_sql("bsv", text=text)},
+gw AS (SELECT words, {_plain(text)} AS ws FROM gk),
 ge AS (SELECT words, len(ws) AS n, unnest(ws) AS word FROM gw WHERE len(ws) > 0),
 hit AS (SELECT words, sent_id FROM ge JOIN bsv USING (word) GROUP BY words, sent_id, n HAVING count(*) = n),
 free AS (SELECT words FROM gw WHERE len(ws) = 0)"""
 
 
 @register("lm_15_filter_single", f"""WITH {DOC}, {COUNTS}, {BENCH}, {BV}, {GRAMS},
-bad AS (SELECT DISTINCT words FROM (SELECT words, unnest({_plain()}) AS word FROM g) WHERE word NOT IN (SELECT word FROM bv))
-SELECT words, raw::BIGINT AS raw FROM g WHERE words NOT IN (SELECT words FROM bad)""")
+{_known_sql("bv")}
+SELECT words, raw::BIGINT AS raw FROM gk""")
 def lm_15(spark, d):
     return nf.filter_single(gram_table(spark, d), bench_vocab(spark, d))
 
@@ -397,12 +410,12 @@ def bench_phrases(spark, d):
 
 
 _PHR = """ph AS (SELECT item_id AS sent_id, trim(x) AS phrase FROM (SELECT item_id, unnest(regexp_split_to_array(regexp_replace(text, '[\\t\\n\\r ]+', ' ', 'g'), '[,.] ')) AS x FROM benchmark) WHERE trim(x) <> ''),
-pw AS (SELECT sent_id, string_split(phrase, ' ') AS w FROM ph),
+pw AS (SELECT sent_id, string_split(phrase, ' ') AS w FROM ph), pv AS (SELECT unnest(w) AS word FROM pw), """ + _known_sql("pv") + """,
 pr0 AS (SELECT sent_id, w, unnest(range(1, len(w) + 1)) AS i FROM pw),
 pr1 AS (SELECT sent_id, w, i, unnest(range(1, least(3, len(w) - i + 1) + 1)) AS n FROM pr0),
-rel AS (SELECT DISTINCT sent_id, array_to_string(w[i:i + n - 1], ' ') AS seg, i = 1 AS st, i + n - 1 = len(w) AS en FROM pr1),
+rel AS MATERIALIZED (SELECT DISTINCT sent_id, array_to_string(w[i:i + n - 1], ' ') AS seg, i = 1 AS st, i + n - 1 = len(w) AS en FROM pr1),
 gb AS (SELECT words, CASE WHEN list_contains(b, '</s>') THEN b[1:list_position(b, '</s>') - 1] ELSE b END AS b
-  FROM (SELECT words, CASE WHEN starts_with(words, '<') AND ends_with(string_split(words, ' ')[1], '>') THEN string_split(words, ' ')[2:] ELSE string_split(words, ' ') END AS b FROM g)),
+  FROM (SELECT words, CASE WHEN starts_with(words, '<') AND ends_with(string_split(words, ' ')[1], '>') THEN string_split(words, ' ')[2:] ELSE string_split(words, ' ') END AS b FROM gk)),
 one AS (SELECT words, sent_id FROM gb JOIN rel ON seg = array_to_string(b, ' ') WHERE len(b) > 0),
 two AS (SELECT gb.words, r1.sent_id FROM gb, (SELECT unnest([1, 2]) AS c) JOIN rel r1 ON r1.en AND r1.seg = array_to_string(b[1:c], ' ')
   JOIN rel r2 ON r2.sent_id = r1.sent_id AND r2.st AND r2.seg = array_to_string(b[c + 1:], ' ') WHERE c < len(b)),
