@@ -94,13 +94,15 @@ def top_k(
     or non-finite components take no part; rows without id neither.  Of
     different lengths the shorter is filled up with zeros.  Repeated ids: each
     row is a candidate of its own, and a query of the smallest of its vectors.
+    Scores beyond 2**53 are computed in whole numbers; one that no long holds is
+    an error.  An empty table gives no rows.
     """
     rows = materialise(quantised(vectors, vec_id, embedding).filter("vec_id is not null"), "quantised")
     count, dims = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     n_queries = asked.count()
     cells_q, cells_c = max(1, -(-n_queries // queries)), max(1, -(-count // candidates))
-    # a block is a hash class of rows, so its size is even; ``salt`` keeps equal ids apart
+    # a block is a hash class of rows; ``salt`` spreads rows of one id
     salt = F.xxhash64("vec_id", "v")
     left = asked.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(cells_q)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(cells_c - 1))).alias("cb"))
     right = rows.select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(cells_q - 1))).alias("qb"), F.pmod(salt, F.lit(cells_c)).cast("int").alias("cb"))
