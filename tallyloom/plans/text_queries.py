@@ -372,10 +372,10 @@ def trk_6(spark, d):
 def trk_6b(spark, d):
     """The state machine on a file stream of the events."""
     src, out, mark = (scratch_path(spark, n) for n in ("det", "tracked", "mark"))
-    rows = detections(spark, d)
-    rows.write.parquet(src)
+    rows = detections(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows.unionByName(tk.closing_mark(rows, "ts", "1 minute")).write.parquet(src)
     stream = spark.readStream.schema(rows.schema).parquet(src)
-    tracked = tk.stream_track_reconnect(stream.withColumn("ts", F.col("ts").cast("timestamp")), RULES, "ts", "1 minute")
+    tracked = tk.stream_track_reconnect(stream, RULES, "ts", "1 minute")
     tracked.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(tracked.schema).parquet(out)
 

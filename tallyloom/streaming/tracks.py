@@ -219,9 +219,18 @@ def track_reconnect(detections: DataFrame, rules: TrackRules) -> DataFrame:
     return joined.withColumn("display_id", F.col("display_id") + F.col("ids0")).withColumn("count", F.col("count") + F.col("n0")).drop("segment", "ids0", "n0")
 
 
+def closing_mark(detections: DataFrame, time_col: str, delay: str) -> DataFrame:
+    """One row without a video that follows the last detection: it moves the watermark past
+    every frame, so that a stream that has ended gives all its rows."""
+    last = detections.agg(F.max(time_col).alias("last"))
+    after = F.col("last") + F.expr(f"interval {delay}") + F.expr("interval 1 minute")
+    return last.select(*[(after if f.name == time_col else F.lit(None)).cast(f.dataType).alias(f.name) for f in detections.schema])
+
+
 def stream_track_reconnect(detections: DataFrame, rules: TrackRules, time_col: str, delay: str) -> DataFrame:
-    """Streaming form: frames wait in the state until the watermark has passed them, so
-    rows that come out of order within ``delay`` are sorted first and later ones are dropped.
+    """Streaming form: a frame waits in the state until the watermark has passed all its rows
+    and those of the frames before it, so rows that come out of order within ``delay`` are
+    sorted first and later ones are dropped.  A ``closing_mark`` at the end lets out the last frames.
 
     With ``rules.evict`` tracks older than the window leave the state.
     """
@@ -230,20 +239,25 @@ def stream_track_reconnect(detections: DataFrame, rules: TrackRules, time_col: s
     rows = detections.withWatermark(time_col, delay).select(*COLUMNS, F.col(time_col).alias("at")).withColumn("video_id", F.col("video_id").cast("string"))
 
     def run(key, batches, state):
+        if key[0] is None:  # closing marks only
+            return
         saved, waiting = state.get if state.exists else (None, "[]")
         held = json.loads(waiting)
         for pdf in batches:
             held += pdf.assign(at=pdf["at"].map(lambda t: int(t.timestamp() * 1000)))[[*COLUMNS[1:], "at"]].to_dict("records")
         mark = state.getCurrentWatermarkMs()
         tracks, made = Tracks(rules, saved), []
-        due = sorted((h for h in held if h["at"] <= mark), key=lambda h: (h["frame"], h["raw_track_id"]))
-        for frame in sorted({h["frame"] for h in due}):
-            group = pd.DataFrame([h for h in due if h["frame"] == frame])
-            made += tracks.frame(int(frame), _detections(group.itertuples(index=False)))
-        rest = [h for h in held if h["at"] > mark]
-        state.update((tracks.dump(), json.dumps(rest)))
-        if rest:
-            state.setTimeoutTimestamp(max(min(h["at"] for h in rest), mark + 1))
+        frames: dict[int, list[dict]] = {}
+        for h in sorted(held, key=lambda h: (h["frame"], h["raw_track_id"])):
+            frames.setdefault(int(h["frame"]), []).append(h)
+        latest = {number: max(h["at"] for h in group) for number, group in frames.items()}
+        for number in list(frames):
+            if latest[number] > mark:
+                break
+            made += tracks.frame(number, _detections(pd.DataFrame(frames.pop(number)).itertuples(index=False)))
+        state.update((tracks.dump(), json.dumps([h for group in frames.values() for h in group])))
+        if frames:
+            state.setTimeoutTimestamp(max(latest[next(iter(frames))], mark + 1))
         if made:
             yield _frame(key[0], made)
 
