@@ -19,6 +19,7 @@ from ..functions.names import (
     with_open_relation,
 )
 from ..functions.replies import strip
+from ..session import materialise
 from .graph import edge_ends
 
 # fixed values: chapter headers and the digits and units of written numbers
@@ -407,7 +408,8 @@ def clean_triples(edges: DataFrame, rules: BookRules = JOURNEY) -> tuple[DataFra
     first = step(first, {
         "head": lookup(rules.aliases, F.col("head_raw")), "tail": lookup(rules.aliases, F.col("tail_raw")), "relation": lookup(rules.relations, F.col("relation_raw")),
     })
-    modes = entity_modes(first)
+    first = materialise(first, "normalised")  # the modes and the rules read it
+    modes = materialise(entity_modes(first), "modes")
     for s in ("head", "tail"):
         m = modes.select(F.col("name").alias(s), F.col("type_mode").alias(f"{s}_mode"), F.col("type_share").alias(f"{s}_share"), F.col("cate_mode").alias(f"{s}_cm"))
         first = first.join(m, s, "left")

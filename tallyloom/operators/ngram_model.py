@@ -190,6 +190,7 @@ def interpolate_orders(u: DataFrame, contexts: DataFrame, order: int, vocab_pad:
     One equi-join with the order below per step; each finished order is written
     out, since the next order and the result both read it.
     """
+    u = materialise(u, "uninterpolated", ["order"])  # each step reads one order
     kept = u.filter("order = 1").count()
     uniform = 1.0 / max(vocab_pad, kept - 1, 1)
     lower = None
@@ -280,7 +281,7 @@ def smooth(
     interpolate_unigrams: bool = True,
 ) -> DataFrame:
     """Adjusted counts to model."""
-    discounts = kn_discounts(count_of_counts(counts), fallback)
+    discounts = materialise(kn_discounts(count_of_counts(counts), fallback), "discounts")  # one row per order
     contexts = materialise(context_stats(counts, discounts), "contexts")
     u = uninterpolated(counts, discounts, contexts, interpolate_unigrams)
     return interpolate_orders(u, contexts, order, vocab_pad)

@@ -166,33 +166,33 @@ def pack_tokens(df: DataFrame, shard: str, order: str, tokens: str, rows: int, l
 
     y is x shifted by one, so a block reads one token of the next.  Blocks go to
     ranks in turn; a rank goes on while a whole stride is left, the tail is dropped.
+    ``order`` is unique within a shard.  Offsets come from the narrow table of
+    lengths, and a row sends each block one slice of its tokens.
     """
     size = rows * length
     sized = df.select(shard, order, F.col(tokens).alias("__t"), F.size(tokens).cast("bigint").alias("__n"))
-    placed = rank_by_order(sized, [shard], [order], rank=None, amount="__n", running="__end")
+    placed = rank_by_order(sized.drop("__t"), [shard], [order], rank=None, amount="__n", running="__end")
     totals = sized.groupBy(shard).agg(F.sum("__n").alias("__len"))
-    at = placed.select(shard, (F.col("__end") - F.col("__n")).alias("__o"), F.posexplode("__t").alias("__i", "__w"))
-    pos = F.col("__o") + F.col("__i")
-    block, inside = F.expr(f"__pos div {size}"), F.expr(f"cast(__pos % {size} as int)")
-    homes = F.array_compact(
-        F.array(
-            F.struct(block.alias("block"), inside.alias("k")),
-            F.when((inside == 0) & (block > 0), F.struct((block - 1).alias("block"), F.lit(size).alias("k"))),
-        )
-    )
-    spread = at.select(shard, pos.alias("__pos"), "__w").select(shard, F.explode(homes).alias("h"), "__w")
-    blocks = spread.groupBy(shard, F.col("h.block").alias("block")).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("h.k").alias("k"), F.col("__w").alias("w")))).alias("__ws")
+    begin = (F.col("__end") - F.col("__n")).alias("__o")
+    at = sized.filter("__n > 0").join(placed.select(shard, order, begin, "__end"), [shard, order])
+    # a block takes one token more, the first of the next
+    first = F.greatest(F.expr(f"(__o - 1) div {size}"), F.lit(0))
+    met = at.select(shard, "__o", "__end", "__t", F.explode(F.sequence(first, F.expr(f"(__end - 1) div {size}"))).alias("block"))
+    start = F.greatest(F.col("__o"), F.col("block") * size)
+    stop = F.least(F.col("__end"), F.col("block") * size + size + 1)
+    piece = F.slice("__t", (start - F.col("__o") + 1).cast("int"), (stop - start).cast("int"))
+    parts = met.select(shard, "block", F.struct(start.alias("k"), piece.alias("w")).alias("part"))
+    blocks = parts.groupBy(shard, "block").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["w"])).alias("__ws")
     )  # at most size + 1 tokens
-    words = F.transform("__ws", lambda s: s["w"])
     whole = blocks.filter(F.size("__ws") == size + 1).join(totals, shard)
     stays = (F.col("block") < ranks) | ((F.col("block") + ranks) * size + 1 <= F.col("__len"))
     return whole.filter(stays).select(
         shard,
         "block",
         (F.col("block") % ranks).cast("int").alias("rank"),
-        F.slice(words, 1, size).alias("x"),
-        F.slice(words, 2, size).alias("y"),
+        F.slice("__ws", 1, size).alias("x"),
+        F.slice("__ws", 2, size).alias("y"),
     )
 
 

@@ -144,7 +144,7 @@ def doc_counts(spark, d):
 
 
 def doc_discounts(spark, d):
-    return nm.kn_discounts(nm.count_of_counts(doc_counts(spark, d)), FALLBACK)
+    return shared(spark, d, "discounts", lambda: materialise(nm.kn_discounts(nm.count_of_counts(doc_counts(spark, d)), FALLBACK), "discounts"))
 
 
 def doc_contexts(spark, d):

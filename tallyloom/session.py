@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,13 +55,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def materialise(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, a folder for each value of ``by``, and read it back.
 
     Cuts the lineage in a way that outlives any executor, keeps column pruning
     and filter push-down for later readers, and gives the optimizer real sizes.
     """
     spark = df.sparkSession
     path = os.path.join(checkpoint_root(spark), "tables", f"{name}-{uuid.uuid4().hex}")
-    df.write.mode("errorifexists").option("compression", "lz4").parquet(path)
+    df.write.mode("errorifexists").option("compression", "lz4").partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(df.columns)
