@@ -29,19 +29,20 @@ BLOCK = frozenset(
 )
 SIDE = frozenset("nav footer aside form script style noscript template svg iframe button select textarea dialog head title menu object canvas".split())
 ROOT = frozenset("article main".split())
+LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre td th tr caption figcaption legend summary address blockquote ul ol dl".split())  # never the region itself
 SCOPE = frozenset("table td th caption button object".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion sidebar cookie cookies "
     "consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription paywall menu nav navbar "
     "navigation breadcrumb breadcrumbs pagination pager footer comment comments disqus respond reply replies share sharing social "
-    "related recommended recommendations widget toolbar login signup search".split()
+    "related recommended recommendations widget toolbar login signup search responses feedback announcement toast".split()
 )
 PAGE_HINTS = frozenset("header masthead topbar".split())  # outside an article only
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
 SIGMA = 1.0  # lines
-SHARE = 0.6  # of the content cluster's text that the region must hold
+SHARE = 0.85  # of the content cluster's text that the region must hold
 LINKS = 0.5  # share of link text from which a line is a menu, where no element marks the article
 
 
@@ -195,8 +196,8 @@ def main_text(html: str, sigma: float = SIGMA, share: float = SHARE) -> str:
     articles = [b for b in marked if parser.name[b] == "article"] or marked
     region = max(articles, key=lambda b: (weight[b], -b), default=-1)
     exact = region >= 0
-    if not exact:  # the innermost block that holds most of the content cluster
-        region = max((b for b in range(len(weight)) if weight[b] >= share * weight[0]), default=0)
+    if not exact:  # the innermost container that holds most of the content cluster
+        region = max((b for b in range(len(weight)) if weight[b] >= share * weight[0] and parser.name[b] not in LEAF), default=0)
     inside = np.zeros(len(weight), bool)
     inside[region] = True
     for b in range(region + 1, len(weight)):
