@@ -116,6 +116,9 @@ def test_html_regions():
     assert html_text.main_text(PAGE[: PAGE.index("Ok.") + 3] + "<p cla") == "The & title\n\nFirst bold text with a link here.\n\nSecond<p> é.\n\nOk."
     plain = PAGE.replace("<article>", "<div id=x>").replace("</article>", "</div>").replace("First", "First of many words in a long paragraph, so that it is content,")
     assert "First of many words" in html_text.main_text(plain) and "menu" not in html_text.main_text(plain)
+    post = "<div class=post><h1>T</h1><p>" + "words of a long paragraph " * 30 + "</p><p>Short.</p><p>ok</p></div>"
+    page = f"<body><div><a href=/>Home</a> <a href=/x>News</a></div><div class=wrap>{post}<div class=sidebar><p>side</p></div></div><div id=footer>c</div></body>"
+    assert html_text.main_text(page).startswith("T\n\nwords of") and html_text.main_text(page).endswith("paragraph\n\nShort.\n\nok")
     for empty in ("", " ", "<nav>x</nav>", "<script>x", "<", "<!-- x", "</p>", "<article></article>"):
         assert html_text.main_text(empty) in ("", "<")
 
