@@ -8,16 +8,18 @@ percent)) common elements.
 - A light set (size up to the boundary) is posted under every subset of c(m, n)
   elements, for each partner size n that can link; linked light sets share one.
 - A heavy set, and a light one that is large enough to meet a heavy one, is
-  posted under its m - ceil(percent m / 100) + 1 first elements in an order that
-  puts frequent elements last; linked sets share one of those.
+  posted under its m - ceil(percent m / 100) + e first elements in an order that
+  puts frequent elements last; linked sets share e of those, so a set that shares
+  fewer with all others together leaves the lists.
 - The boundary is the largest size up to which subsets cost less than lists.
   The order of the elements and the boundary decide the cost, never the result.
 
 Every list is compared with its first member; sets that link with it are one
 component already and are not compared with each other.  What is left of a list
-gets further centres as long as that joins components, then its remaining
-members of different components meet, in bands of similar size and behind an
-upper bound of their overlap.  Every candidate is verified on the whole texts.
+gets further centres while its open pairs are many and that joins components,
+then its remaining members of different components meet, in bands of similar
+size and behind an upper bound of their overlap.  Every candidate is verified on
+the whole texts.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -40,7 +42,10 @@ PERCENT = 90
 ORDERED = 1 << 17  # the most frequent elements whose order is known: bounds what is broadcast
 LIGHTEST = 64  # subsets are never enumerated for larger sets
 BUCKETS = 64  # of the count vector that bounds an overlap from above
+MOST = 32767  # that a count holds; sets that reach it are not bounded
 BLOCK = 4_000_000  # elements counted together
+SHORT = 64  # members of a list up to which they are not parted into bands of similar size
+FEW_PAIRS = 64  # open pairs per list member from which on more centres pay
 
 
 def common_needed(m: int, n: int, percent: int) -> int:
@@ -61,6 +66,11 @@ def prefix_size(m: int, percent: int) -> int:
     return m - -(-percent * m // 100) + 1
 
 
+def shared_needed(m: int, percent: int) -> int:
+    """How many of their first elements two linked sets of sizes from m on share at least."""
+    return 1 + prefix_size(m, percent) // 2
+
+
 def distinct_sets(column: pa.Array, k: int):
     """The sorted distinct shingle hashes of each text, block by block of texts."""
     for _, _, data, offsets in K.chunks(column):
@@ -127,11 +137,11 @@ def light_boundary(sizes: dict[int, int], mean_list: float, percent: int) -> int
 
 
 def posted(rows: DataFrame, k: int, percent: int, boundary: int, order: np.ndarray) -> DataFrame:
-    """``(doc_id, n, s1, s2, counts, posts)`` of the ``(doc_id, text)`` rows; ``order``: frequent elements, most frequent last."""
+    """``(doc_id, text_hash, n, s1, s2, counts, posts)`` of the ``(doc_id, text_hash, text)`` rows; ``order``: frequent elements, most frequent last."""
     shared = rows.sparkSession.sparkContext.broadcast(order)
     least = -(-percent * (boundary + 1) // 100)
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("counts", pa.list_(pa.int32())), ("posts", pa.list_(pa.int64()))]
+        [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("counts", pa.list_(pa.int16())), ("posts", pa.list_(pa.int64()))]
     )
 
     def post(batches):
@@ -142,7 +152,7 @@ def posted(rows: DataFrame, k: int, percent: int, boundary: int, order: np.ndarr
         maybe[(listed >> np.uint64(44)).astype(np.int64)] = True
 
         def first_elements(v):
-            size = prefix_size(len(v), percent)
+            size = prefix_size(len(v), percent) + shared_needed(len(v), percent) - 1
             late = maybe[(v >> np.uint64(44)).astype(np.int64)]
             if late.any():
                 at = np.flatnonzero(late)
@@ -162,7 +172,7 @@ def posted(rows: DataFrame, k: int, percent: int, boundary: int, order: np.ndarr
 
         for batch in batches:
             i = 0
-            for sets in distinct_sets(batch.column(1), k):
+            for sets in distinct_sets(batch.column(2), k):
                 posts, signed = [], [signature(v) for v in sets]
                 for v in sets:
                     p = [first_elements(v)] if len(v) >= max(least, 1) else []
@@ -172,17 +182,18 @@ def posted(rows: DataFrame, k: int, percent: int, boundary: int, order: np.ndarr
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, len(sets)),
+                        batch.column(1).slice(i, len(sets)),
                         pa.array([len(v) for v in sets], pa.int32()),
                         pa.array([s[0] for s in signed], pa.int64()),
                         pa.array([s[1] for s in signed], pa.int64()),
-                        K.lists([np.bincount((v >> np.uint64(58)).astype(np.int64), minlength=BUCKETS) for v in sets], pa.int32()),
+                        K.lists([np.minimum(np.bincount((v >> np.uint64(58)).astype(np.int64), minlength=BUCKETS), MOST) for v in sets], pa.int16()),
                         K.lists([p.astype(np.int64) for p in posts], pa.int64()),
                     ],
                     schema=schema,
                 )
                 i += len(sets)
 
-    return rows.mapInArrow(post, "doc_id long, n int, s1 long, s2 long, counts array<int>, posts array<long>")
+    return rows.mapInArrow(post, "doc_id long, text_hash long, n int, s1 long, s2 long, counts array<smallint>, posts array<long>")
 
 
 def elements_of(rows: DataFrame, k: int) -> DataFrame:
@@ -221,12 +232,21 @@ def linked(pairs: DataFrame, percent: int) -> DataFrame:
 
 def _possible(percent: int) -> Column:
     """Sizes and counts of the two sets leave room for enough common elements."""
-    common = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    return (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (common * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
+    least = F.zip_with("ca", "cb", lambda x, y: F.least(x, y))
+    common = F.aggregate(least, F.lit(0), lambda s, x: s + x)
+    room = (common * (100 + percent) >= (F.col("na") + F.col("nb")) * percent) | (F.least("na", "nb") >= MOST)
+    return _similar_sizes(percent) & room
+
+
+def _similar_sizes(percent: int) -> Column:
+    return F.least("na", "nb").cast("bigint") * 100 >= F.greatest("na", "nb").cast("bigint") * percent
 
 
 def set_components(docs: DataFrame, doc_id: str, text: str, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)``, one row per row of ``docs``.
+    """``(doc_id, text_hash, n_shingles, component_id, stays)``, one row per row of ``docs``.
+
+    ``stays`` is true for one row of each component, one with its least id, and
+    for rows without a set; ``text_hash`` is ``xxhash64`` of the text.
 
     ``component_id`` is the least ``doc_id`` reachable by links, the row's own
     included.  A null or empty text, or one of white space only, has no set and
@@ -234,7 +254,7 @@ def set_components(docs: DataFrame, doc_id: str, text: str, k: int = SHINGLE, pe
     carries links but no name: its own component is the least id of the others,
     or null.  Other columns are ignored; an empty table gives an empty result.
     """
-    source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
 
     counted = materialise(count_elements(source.select("text"), k), "elements")
     sizes = {r["size"]: r["n"] for r in counted.filter("size > 0").select("size", "n").collect()}
@@ -246,22 +266,31 @@ def set_components(docs: DataFrame, doc_id: str, text: str, k: int = SHINGLE, pe
     boundary = light_boundary(sizes, 1 + scanned / max(total, 1), percent)
 
     rows = materialise(posted(source, k, percent, boundary, order).withColumn("row", F.monotonically_increasing_id()), "posted")
-    kinds = rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
+    named_row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    kinds = rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("row").alias("node"), F.min(named_row).alias("least"))
     kinds = materialise(kinds, "kinds")
-    nodes = rows.join(kinds.select(F.col("node").alias("row")), "row").drop("doc_id")
-    nodes = materialise(nodes.withColumnRenamed("row", "node").join(kinds.select("node", "least"), "node", "left"), "nodes")
+    nodes = rows.join(kinds.select(F.col("node").alias("row")), "row").drop("doc_id", "text_hash")
+    nodes = materialise(nodes.withColumnRenamed("row", "node"), "nodes")
     about = nodes.select("node", "n", "counts")
-    posts = nodes.select("node", F.explode("posts").alias("key"))
+    posts = nodes.select("node", "n", F.explode("posts").alias("key"))
+
+    def listed(posts: DataFrame) -> DataFrame:
+        lists = posts.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").drop("top")
+        return posts.join(lists, "key")
 
-    lists = posts.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").drop("top")
-    members = materialise(posts.join(lists, "key"), "members")
+    members = materialise(listed(posts), "shared")
+    least_partner = F.ceil(F.col("n") * percent / 100)
+    needed = 1 + F.floor((least_partner - F.ceil(least_partner * percent / 100) + 1) / 2)  # shared_needed, as a column
+    enough = members.groupBy("node", "n").agg(F.count(F.lit(1)).alias("c")).filter((F.col("n") <= boundary) | (F.col("c") >= needed))
+    members = materialise(listed(members.drop("hub").join(enough.select("node"), "node", "left_semi")), "members")
 
     seen = fetched = None
 
     def verify(pairs: DataFrame) -> DataFrame:
+        """Links among the ``(a, na, b, nb)`` pairs."""
         nonlocal seen, fetched
-        sized = pairs.join(about.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca")), "a")
-        sized = sized.join(about.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb")), "b")
+        sized = pairs.filter(_similar_sizes(percent)).join(about.select(F.col("node").alias("a"), F.col("counts").alias("ca")), "a")
+        sized = sized.join(about.select(F.col("node").alias("b"), F.col("counts").alias("cb")), "b")
         pairs = sized.filter(_possible(percent)).select("a", "b")
         pairs = materialise(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
         seen = pairs if seen is None else seen.unionByName(pairs)
@@ -270,49 +299,80 @@ def set_components(docs: DataFrame, doc_id: str, text: str, k: int = SHINGLE, pe
             need = need.join(fetched.select("node"), "node", "left_anti")
         need = need.join(nodes.select("node", "s1", "s2"), "node").join(rows.select(F.col("row").alias("node"), "doc_id"), "node")
         at = need.select("node", "s1", "s2", F.col("doc_id").alias("__id"))
-        texts = at.join(source, F.col("__id").eqNullSafe(F.col("doc_id"))).select("node", "s1", "s2", "text")
-        new = materialise(elements_of(texts, k), "sets")
-        fetched = new if fetched is None else fetched.unionByName(new)
+        at = materialise(at, "needed")
+        if fetched is None or not at.isEmpty():
+            texts = at.join(source, F.col("__id").eqNullSafe(F.col("doc_id"))).select("node", "s1", "s2", "text")
+            new = materialise(elements_of(texts, k), "sets")
+            fetched = new if fetched is None else fetched.unionByName(new)
         both = pairs.join(fetched.select(F.col("node").alias("a"), F.col("elements").alias("ea")), "a")
         both = both.join(fetched.select(F.col("node").alias("b"), F.col("elements").alias("eb")), "b")
         return materialise(linked(both.select("a", "b", "ea", "eb"), percent), "links")
 
-    links = verify(members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    size_of = about.select(F.col("node").alias("hub"), F.col("n").alias("nb"))
+    starts = members.filter("node <> hub").select("node", "n", "hub").distinct().join(size_of, "hub")
+    links = verify(starts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("hub").alias("b"), "nb"))
+    # equal labels are one component; different labels may be, which costs a comparison more
+    labels = links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
     open_lists, joined = members.withColumnRenamed("hub", "done"), -1
     while True:
-        parts = connected_components(links)
-        # a list is settled when its members, without centres that met all others, are of one component
-        named = open_lists.filter("node <> done").drop("done").join(parts.withColumnRenamed("id", "node"), "node", "left")
+        # a list is settled when its members, without centres that met all others, have one label
+        named = open_lists.filter("node <> done").drop("done").join(labels.withColumnRenamed("id", "node"), "node", "left")
         named = named.withColumn("component", F.coalesce("component", "node"))
-        spread = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("node", "component").alias("hub"))
-        named = materialise(named.join(spread.filter("lo < hi"), "key").select("key", "node", "component", "hub", "lo"), "open")
-        before, joined = joined, parts.filter("id <> component").count()
-        if joined == before or named.isEmpty():
+        shares = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("node", "n")).alias("hub"))
+        c = F.col("c").cast("double")
+        spread = shares.groupBy("key").agg(
+            F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("hub", "component").alias("hub"), F.sum(c).alias("all"), F.sum(c * c).alias("same")
+        )
+        spread = spread.filter("lo < hi").withColumn("pairs", (F.col("all") * F.col("all") - F.col("same")) / 2)
+        named = named.join(spread, "key").select("key", "node", "n", "component", "hub", "lo", "all", (F.col("pairs") / F.col("all")).alias("share"))
+        named = materialise(named, "open")
+        size, pairs = named.agg(F.count(F.lit(1)), F.sum("share")).first()
+        before, joined = joined, labels.filter("id <> component").count() if (pairs or 0) > FEW_PAIRS * size else joined
+        if joined == before:
             break
-        star = named.filter("component <> lo").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+        a, b = F.struct("node", "n"), F.col("hub")
+        star = named.filter("component <> lo").select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+        star = star.select(F.col("a.node").alias("a"), F.col("a.n").alias("na"), F.col("b.node").alias("b"), F.col("b.n").alias("nb"))
         links = links.unionByName(verify(star))
-        open_lists = named.select("node", "key", F.col("hub").alias("done"))
+        labels = connected_components(links)
+        open_lists = named.select("node", "n", "key", F.col("hub.node").alias("done"))
 
     if not named.isEmpty():
         band = F.floor(F.log("n") / math.log(100 / percent) + 1e-9)
-        banded = named.join(about, "node").select("key", "node", "component", "n", "counts", F.explode(F.array(band, band + 1)).alias("band"))
-        parts = connected_components(links.unionByName(verify(_meet(banded, percent))))
+        known = named.join(about.select("node", "counts"), "node").select("key", "node", "component", "n", "counts", "all")
+        short = known.filter(F.col("all") <= SHORT).withColumn("band", F.lit(0).cast("bigint"))
+        long = known.filter(F.col("all") > SHORT).withColumn("band", F.explode(F.array(band, band + 1)))
+        links = links.unionByName(verify(_meet(short.unionByName(long), percent)))
+    parts = connected_components(links)
     of = kinds.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = of.join(least, "component").select("s1", "s2", "n", "component_id")
-    out = rows.select("doc_id", "n", "s1", "s2").join(of, ["s1", "s2", "n"], "left")
-    mine = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), mine.alias("component_id"))
+    least = of.groupBy("component").agg(F.min("least").alias("first"))
+    of = of.join(least, "component").select("s1", "s2", "n", "first")
+    out = rows.select("doc_id", "text_hash", "row", "n", "s1", "s2").join(of, ["s1", "s2", "n"], "left")
+    mine = F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id"))
+    stays = (F.col("n") == 0) | (F.col("row") == F.col("first.row"))
+    return out.select("doc_id", "text_hash", F.col("n").cast("bigint").alias("n_shingles"), mine.alias("component_id"), stays.alias("stays"))
+
+
+def one_of_each(docs: DataFrame, doc_id: str, text: str, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each component, and those without a set."""
+    stay = set_components(docs, doc_id, text, k, percent).filter("stays")
+    stay = stay.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"))
+    keyed = docs.withColumn("__th", F.xxhash64(text)).withColumn("__id", F.col(doc_id).cast("bigint"))
+    kept = keyed.join(stay, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__h")), "left_semi")
+    # of equal rows one stays, unless they have no set
+    nth = F.row_number().over(Window.partitionBy("__id", "__th").orderBy(F.lit(0)))
+    empty = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return kept.withColumn("__n", nth).filter((F.col("__n") == 1) | empty).select(*docs.columns)
 
 
 def _meet(banded: DataFrame, percent: int) -> DataFrame:
-    """``(a, b)`` of different components in one list and band of sizes that may link."""
+    """``(a, na, b, nb)`` of different components in one list and band that may link."""
     left = banded.select("key", "band", F.col("node").alias("a"), F.col("component").alias("pa"), F.col("n").alias("na"), F.col("counts").alias("ca"))
     right = banded.select("key", "band", F.col("node").alias("b"), F.col("component").alias("pb"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
     met = left.join(right, ["key", "band"]).filter((F.col("a") > F.col("b")) & (F.col("pa") != F.col("pb")) & _possible(percent))
-    return met.select("a", "b").distinct()
+    return met.select("a", "na", "b", "nb").distinct()
 
 
 @register("op7_jaccard_join")
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return set_components(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return set_components(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "n_shingles", "component_id")
