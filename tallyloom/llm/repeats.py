@@ -33,7 +33,7 @@ from .registry import register, table
 LENGTH = 200
 GRAM = 40
 PIECE = 2 << 20  # window starts of one text that are worked on together
-SLICE = 1024  # different segments of an anchor that are sorted together
+SLICE = 8192  # different segments of an anchor that are sorted together
 SORTED = 400_000  # suffixes sorted together in a task
 
 SEGMENTS = "anchor long, content long, doc_id long, text_hash long, start int, n int, place int"
