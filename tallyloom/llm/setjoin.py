@@ -275,14 +275,18 @@ def set_components(docs: DataFrame, doc_id: str, text: str, k: int = SHINGLE, pe
     posts = nodes.select("node", "n", F.explode("posts").alias("key"))
 
     def listed(posts: DataFrame) -> DataFrame:
-        lists = posts.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").drop("top")
+        lists = posts.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("len")).filter("len > 1")
         return posts.join(lists, "key")
 
-    members = materialise(listed(posts), "shared")
+    shared = materialise(listed(posts).drop("hub"), "shared")
     least_partner = F.ceil(F.col("n") * percent / 100)
     needed = 1 + F.floor((least_partner - F.ceil(least_partner * percent / 100) + 1) / 2)  # shared_needed, as a column
-    enough = members.groupBy("node", "n").agg(F.count(F.lit(1)).alias("c")).filter((F.col("n") <= boundary) | (F.col("c") >= needed))
-    members = materialise(listed(members.drop("hub").join(enough.select("node"), "node", "left_semi")), "members")
+    enough = shared.groupBy("node", "n").agg(F.count(F.lit(1)).alias("c"))
+    enough = enough.withColumn("spare", F.when(F.col("n") > boundary, F.col("c") - needed).otherwise(F.col("c"))).filter("spare >= 0")
+    # of c shared elements, of which a partner has all but ``spare``, the spare + 1 in the shortest lists meet it
+    nth = F.row_number().over(Window.partitionBy("node").orderBy("len", "key"))
+    few = shared.join(enough.select("node", "spare"), "node").withColumn("nth", nth).filter("nth <= spare + 1")
+    members = materialise(listed(few.select("node", "n", "key")).drop("len"), "members")
 
     seen = fetched = None
 
@@ -311,11 +315,10 @@ def set_components(docs: DataFrame, doc_id: str, text: str, k: int = SHINGLE, pe
     size_of = about.select(F.col("node").alias("hub"), F.col("n").alias("nb"))
     starts = members.filter("node <> hub").select("node", "n", "hub").distinct().join(size_of, "hub")
     links = verify(starts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("hub").alias("b"), "nb"))
-    # equal labels are one component; different labels may be, which costs a comparison more
-    labels = links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
+    labels = connected_components(links)
     open_lists, joined = members.withColumnRenamed("hub", "done"), -1
     while True:
-        # a list is settled when its members, without centres that met all others, have one label
+        # a list is settled when its members, without centres that met all others, are of one component
         named = open_lists.filter("node <> done").drop("done").join(labels.withColumnRenamed("id", "node"), "node", "left")
         named = named.withColumn("component", F.coalesce("component", "node"))
         shares = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("node", "n")).alias("hub"))
@@ -343,8 +346,8 @@ def set_components(docs: DataFrame, doc_id: str, text: str, k: int = SHINGLE, pe
         short = known.filter(F.col("all") <= SHORT).withColumn("band", F.lit(0).cast("bigint"))
         long = known.filter(F.col("all") > SHORT).withColumn("band", F.explode(F.array(band, band + 1)))
         links = links.unionByName(verify(_meet(short.unionByName(long), percent)))
-    parts = connected_components(links)
-    of = kinds.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        labels = connected_components(links)
+    of = kinds.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of.groupBy("component").agg(F.min("least").alias("first"))
     of = of.join(least, "component").select("s1", "s2", "n", "first")
     out = rows.select("doc_id", "text_hash", "row", "n", "s1", "s2").join(of, ["s1", "s2", "n"], "left")
