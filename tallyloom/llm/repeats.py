@@ -32,7 +32,7 @@ from .registry import register, table
 
 LENGTH = 200
 GRAM = 40
-PIECE = 2 << 20  # window starts of one text that are worked on together
+PIECE = 1 << 20  # bytes of text that are worked on together; a longer text comes in parts
 SLICE = 8192  # different segments of an anchor that are sorted together
 SORTED = 400_000  # suffixes sorted together in a task
 
@@ -76,7 +76,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> d
 
 def pieces(column: pa.Array, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """``(first row, bytes, offsets, start of each text)``; a very long text comes in overlapping parts."""
-    for i, j, data, offsets in K.chunks(column):
+    for i, j, data, offsets in K.chunks(column, PIECE):
         if j - i > 1 or len(data) <= PIECE + length:
             yield i, data, offsets, np.zeros(j - i, np.int64)
             continue
