@@ -44,6 +44,7 @@ LIGHTEST = 64  # subsets are never enumerated for larger sets
 BUCKETS = 64  # of the count vector that bounds an overlap from above
 MOST = 32767  # that a count holds; sets that reach it are not bounded
 BLOCK = 4_000_000  # elements counted together
+BROADCAST = 500_000  # rows of four numbers that are sent to all executors at most
 SHORT = 64  # members of a list up to which they are not parted into bands of similar size
 FEW_PAIRS = 64  # open pairs per list member from which on more centres pay
 
@@ -304,8 +305,11 @@ def set_components(docs: DataFrame, doc_id: str, text: str, k: int = SHINGLE, pe
         need = need.join(nodes.select("node", "s1", "s2"), "node").join(rows.select(F.col("row").alias("node"), "doc_id"), "node")
         at = need.select("node", "s1", "s2", F.col("doc_id").alias("__id"))
         at = materialise(at, "needed")
-        if fetched is None or not at.isEmpty():
-            texts = at.join(source, F.col("__id").eqNullSafe(F.col("doc_id"))).select("node", "s1", "s2", "text")
+        n = at.count()
+        if fetched is None or n:
+            # few sets: their texts are picked in the scan, else both sides are shuffled
+            few = F.broadcast(at) if n <= BROADCAST else at
+            texts = few.join(source, F.col("__id").eqNullSafe(F.col("doc_id"))).select("node", "s1", "s2", "text")
             new = materialise(elements_of(texts, k), "sets")
             fetched = new if fetched is None else fetched.unionByName(new)
         both = pairs.join(fetched.select(F.col("node").alias("a"), F.col("elements").alias("ea")), "a")
