@@ -30,6 +30,7 @@ LEAST = 2  # occurrences that a kept word or bigram has at least
 DISCOUNT = 0.75  # of every kept bigram count, given to the unigram model
 ADDED = 0.5  # to every word count
 BLOCK = 4_000_000  # words counted together
+BROADCAST = 1_000_000  # ids that are sent to all executors at most
 
 
 def word_rows(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -191,6 +192,9 @@ def scored(docs: DataFrame, doc_id: str, text: str, models: Models) -> DataFrame
 def flagged(docs: DataFrame, doc_id: str, text: str, chosen: DataFrame, chosen_id: str) -> DataFrame:
     """``(text, target)``: whether the document's id is among the chosen ones."""
     ids = chosen.select(F.col(chosen_id).cast("bigint").alias("__id")).filter("__id is not null").distinct()
+    ids = materialise(ids, "chosen")
+    if ids.count() <= BROADCAST:  # else both sides are shuffled
+        ids = F.broadcast(ids)
     joined = docs.select(F.col(doc_id).cast("bigint").alias("__d"), F.col(text).alias("text")).join(ids, F.col("__d") == F.col("__id"), "left")
     return joined.select("text", F.col("__id").isNotNull().alias("target"))
 
