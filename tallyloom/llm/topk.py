@@ -24,6 +24,8 @@ EVERY = 20
 DIMS = 16  # dimensions per block
 QUERIES = 512  # queries of a grid cell
 CANDIDATES = 4096  # candidates of a grid cell
+FIRST = 1024  # candidates whose whole products give a query's first bound
+SPARSE = 0.05  # share of surviving pairs below which they are taken one by one
 EXACT = 1 << 53  # sums of products up to here are exact in doubles
 
 
@@ -57,17 +59,30 @@ def best_of_cell(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray,
 
     order = np.argsort(cid, kind="stable")
     cid, c = cid[order], c[:, order]
-    some = c[:, : max(4 * k, 256)]  # a first bound from a few whole products
+    some = c[:, : max(4 * k, FIRST)]  # a first bound from a few whole products
     first = q.T @ some
     own = qid[:, None] == cid[None, : some.shape[1]]
     first = np.where(own, -np.inf if exact else -(1 << 200), first)
     need = np.full(len(qid), -np.inf)
     if first.shape[1] >= k + 1:
         need = np.sort(first.astype(float), axis=1)[:, -k]
-    # the first block of dimensions for all pairs at once, then only the survivors
-    a = min(dims, total)
-    partial = q[:a].T @ c[:a]
-    qi, ci = np.nonzero(partial.astype(float) + rest(q, a)[:, None] * rest(c, a)[None, :] >= need[:, None])
+    # all pairs block by block, as long as many survive
+    a, partial = 0, np.zeros((len(qid), len(cid)), q.dtype)
+    while True:
+        b = min(a + dims, total)
+        if b > a:
+            partial += q[a:b].T @ c[a:b]
+        a = b
+        reach = np.outer(rest(q, a), rest(c, a))
+        reach += partial if exact else partial.astype(float)
+        alive = reach >= need[:, None]
+        if a >= total or alive.mean() < SPARSE:
+            break
+        column = alive.any(axis=0)
+        if column.mean() < 0.5:  # candidates that no query needs any more
+            cid, c, partial = cid[column], c[:, column], partial[:, column]
+    # then only the surviving pairs
+    qi, ci = np.nonzero(alive)
     score = partial[qi, ci]
     while a < total:
         b = min(a + dims, total)
