@@ -128,6 +128,31 @@ def test_lm_difference(spark, edge):
         assert (a.target_loss, a.background_loss) == pytest.approx(b[2:]) if b[1] else a.difference is None
 
 
+def test_lm_rare_words_count(spark):
+    """A word or bigram seen twice is known however many words there are."""
+    rows = [(1, "a b c d e " * 640_000), (2, "rare pair alone"), (3, "rare pair again"), (4, "unseen"), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    chosen = spark.createDataFrame([(2,), (3,)], "doc_id long")
+    models = lm_score.train(df.select("text"), lm_score.flagged(df, "doc_id", "text", chosen, "doc_id"))
+    got = {r.doc_id: r for r in lm_score.scored(df, "doc_id", "text", models).collect()}
+    expected = losses(rows, {2, 3}, share=0)
+    assert sorted(got) == sorted(r[0] for r in rows)
+    for d, n, *loss in expected:
+        assert got[d].n_words == n
+        assert [got[d].target_loss, got[d].background_loss] == (pytest.approx(loss) if n else [None, None])
+
+
+@pytest.mark.parametrize("least", [2, 4])
+def test_lm_by_joins_alone(spark, least):
+    df = real(spark)
+    models = lm_score.train(df.select("text"), lm_score.flagged(df, "doc_id", "text", real(spark, "labels").filter("quality = 1"), "doc_id"), least=least, head=1.0)
+    got = {r.doc_id: r for r in lm_score.scored(df, "doc_id", "text", models).collect()}
+    good = {r.doc_id for r in real(spark, "labels").filter("quality = 1").collect()}
+    for d, n, *loss in losses([(r.doc_id, r.text) for r in df.collect()], good, share=0, least=least):
+        assert got[d].n_words == n
+        assert not n or [got[d].target_loss, got[d].background_loss] == pytest.approx(loss)
+
+
 def test_lm_empty(spark):
     df = cases.frame(spark, [])
     models = lm_score.train(df.select("text"), lm_score.flagged(df, "doc_id", "text", df, "doc_id"))
