@@ -3,7 +3,9 @@
 A streaming standard-library parser turns a page into lines, one per block
 element, each with its text, its number of tags and the elements it stands in.
 The text-to-tag ratios of the lines are smoothed and split into two clusters;
-the element that holds the high cluster is the content region.  Of that region
+the element that holds the high cluster is the content region: an article or main
+element if it holds nearly all of it, the parent of several articles that do so
+together, or else the innermost container.  Of that region
 every line is kept that is not in a menu, advert, form or other side matter.
 """
 
@@ -192,12 +194,22 @@ def main_text(html: str, sigma: float = SIGMA, share: float = SHARE) -> str:
         weight[lines[i][4]] += own[i]
     for b in range(len(weight) - 1, 0, -1):  # parents come before their children
         weight[parser.parent[b]] += weight[b]
+    everything = weight[0]
     marked = [b for b in range(len(weight)) if parser.name[b] in ROOT and weight[b] > 0]
-    articles = [b for b in marked if parser.name[b] == "article"] or marked
-    region = max(articles, key=lambda b: (weight[b], -b), default=-1)
-    exact = region >= 0
-    if not exact:  # the innermost container that holds most of the content cluster
-        region = max((b for b in range(len(weight)) if weight[b] >= share * weight[0] and parser.name[b] not in LEAF), default=0)
+    region = -1
+    for kind in ("article", "main"):  # one element, else the parts of a split article together
+        own_kind = [b for b in marked if parser.name[b] == kind]
+        best = max(own_kind, key=lambda b: (weight[b], -b), default=-1)
+        if best >= 0 and weight[best] >= share * everything:
+            region = best
+            break
+        parts = [b for b in own_kind if best >= 0 and parser.parent[b] == parser.parent[best]]
+        if len(parts) > 1 and sum(weight[b] for b in parts) >= share * everything:
+            region = parser.parent[best]
+            break
+    exact = region >= 0 and parser.name[region] in ROOT
+    if region < 0:  # the innermost container that holds most of the content cluster
+        region = max((b for b in range(len(weight)) if weight[b] >= share * everything and parser.name[b] not in LEAF), default=0)
     inside = np.zeros(len(weight), bool)
     inside[region] = True
     for b in range(region + 1, len(weight)):

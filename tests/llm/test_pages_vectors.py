@@ -123,6 +123,17 @@ def test_html_regions():
         assert html_text.main_text(empty) in ("", "<")
 
 
+def test_html_marked_elements_that_are_not_the_body():
+    texts = [f"Paragraph {i} of the body with many words that are its text and go on for a good while." for i in range(8)]
+    body, nav = "".join(f"<p>{t}</p>" for t in texts), "<nav><a href=/>Home</a></nav>"
+    card = "<div><article><h3>Another</h3><p>A summary of another story, long enough to be of the high cluster of lines.</p></article></div>"
+    for page in (f"<body>{nav}<div>{body}</div>{card}</body>", f"<body>{nav}<main>{body}</main>{card}</body>", f"<body>{card}{nav}<div><div>{body}</div></div></body>"):
+        assert html_text.main_text(page) == "\n\n".join(texts)
+    split = "".join(f"<article><p>{t}</p></article>" for t in texts)
+    for page in (f"<body>{nav}<div>{split}</div><div id=footer>c</div></body>", f"<body><div><a href=/>Home</a></div>{split}</body>", f"<body>{nav}<main>{split}</main></body>"):
+        assert html_text.main_text(page) == "\n\n".join(texts)
+
+
 def test_html_rows(spark):
     pages = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", ""), (3, "w", "<p>" * 20_000 + "x" * 200_000), (4, "x", "<![CDATA[x]]><p>y"), (5, "y", "\x00<p>z&#0;")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit(2))
