@@ -1,4 +1,16 @@
 """Operators for training-data pipelines, each with its query and, where SQL can express it, its SQL."""
 
-from . import decontaminate, html_text, lm_score, mixing, quality, repeats, setjoin, token_counts, topk, url_filter  # noqa: F401
+from . import (  # noqa: F401
+    decontaminate,
+    fill_middle,
+    html_text,
+    lm_score,
+    mixing,
+    quality,
+    repeats,
+    setjoin,
+    token_counts,
+    topk,
+    url_filter,
+)
 from .registry import ORACLES, QUERIES  # noqa: F401
