@@ -12,5 +12,6 @@ from . import (  # noqa: F401
     token_counts,
     topk,
     url_filter,
+    whitening,
 )
 from .registry import ORACLES, QUERIES  # noqa: F401
