@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,9 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: Removes a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "16g") -> SparkSession:
     """A session for tests and benches; a cluster job brings its own."""
@@ -55,13 +59,61 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder; an open ``scratch`` removes it at its end."""
+    path = os.path.join(checkpoint_root(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
 def materialise(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder, a folder for each value of ``by``, and read it back.
 
     Cuts the lineage in a way that outlives any executor, keeps column pruning
     and filter push-down for later readers, and gives the optimizer real sizes.
+    The write's shuffle files are removed with it.
     """
     spark = df.sparkSession
-    path = os.path.join(checkpoint_root(spark), "tables", f"{name}-{uuid.uuid4().hex}")
-    df.write.mode("errorifexists").option("compression", "lz4").partitionBy(*by).parquet(path)
+    path = new_path(spark, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("errorifexists").option("compression", "lz4").partitionBy(*by).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path).select(df.columns)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a written folder, wherever Spark keeps it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables written inside are removed at the end, but for those that the given function writes.
+
+    What leaves the block must be written by that function or be rows on the
+    driver; a scope around this one removes its tables in turn.
+    """
+    own: list[str] = []
+    _open.append(own)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        level = _open.pop()
+        try:
+            return materialise(df, name)
+        finally:
+            _open.append(level)
+
+    try:
+        yield keep
+    finally:
+        _open.remove(own)
+        for path in own:
+            remove(spark, path)
