@@ -10,6 +10,7 @@ from . import (  # noqa: F401
     repeats,
     setjoin,
     token_counts,
+    token_files,
     topk,
     url_filter,
     whitening,
