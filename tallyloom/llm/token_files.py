@@ -27,7 +27,9 @@ tokenizer's rules allow that, see ``Encoder``.
 from __future__ import annotations
 
 import json
+import os
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -57,7 +59,7 @@ STEP = 0x9E3779B97F4A7C15
 
 
 class Words(dict):
-    """Ids by word: the words met last and, in ``old``, those before them."""
+    """Ids by word, without the blank before it: the words met last and, in ``old``, those before them."""
 
     def __init__(self, whole: Callable[[str], bytes]) -> None:
         self.whole = whole
@@ -66,7 +68,7 @@ class Words(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            ids = self.whole(word)
+            ids = self.whole(" " + word)
         if len(word) <= LONGEST:
             if len(self) >= CACHED:
                 self.old = dict(self)
@@ -79,28 +81,33 @@ class Encoder:
     """Ids of texts by a tokenizer of the ``tokenizers`` library, without special tokens.
 
     A tokenizer that only splits at byte level, by its own pattern and without a
-    normalizer, never joins a word with the white space after it: text is cut
-    there, and a word with the white space before it is encoded once.  Any other
-    tokenizer gets whole texts.
+    normalizer, never joins a character with white space after it: text is cut
+    there, at blanks, and a word with the blank before it is encoded once.  Any
+    other tokenizer gets whole texts.
     """
 
-    WORD = re.compile(r"\s*\S+|\s+")
+    RUN = re.compile(r"\s ")  # a blank that white space stands before is no place to cut
+    CUT = re.compile(r"(?<=\S) ")
 
     def __init__(self, path: str, width: int) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype(f"<u{width}")
+        self.letter = {2: "H", 4: "I"}[width]
         self.by_word = splits_at_blanks(self.tokenizer)
         self.words = Words(self.whole)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return struct.pack(f"<{len(ids)}{self.letter}", *ids)
 
     def __call__(self, text: str) -> bytes:
+        if not text:
+            return b""
         if not self.by_word:
-            return self.whole(text) if text else b""
-        return b"".join(map(self.words.__getitem__, self.WORD.findall(text)))
+            return self.whole(text)
+        first, *words = self.CUT.split(text) if self.RUN.search(text) else text.split(" ")
+        return b"".join([self.whole(first) if first else b"", *map(self.words.__getitem__, words)])
 
 
 def splits_at_blanks(tokenizer) -> bool:
@@ -117,6 +124,7 @@ _encoders: dict[tuple[str, int], Encoder] = {}
 def encoder(path: str, width: int) -> Encoder:
     """One encoder per worker process; what it remembers outlives a task."""
     if (path, width) not in _encoders:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
         _encoders[path, width] = Encoder(path, width)
     return _encoders[path, width]
 
