@@ -7,14 +7,15 @@ window nothing old can be reconnected, and segments are independent.
 
 from __future__ import annotations
 
-import json
 import math
+from collections import namedtuple
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.names import lookup
 from ..functions.ordering import rank_by_order
@@ -56,17 +57,13 @@ def crosses(before: float, now: float, line: float) -> bool:
 
 
 class Tracks:
-    """State of one video; plain lists and dicts so that it can be stored as JSON."""
+    """State of one video: ``tracks`` by display number, ``alias`` from a raw number to it, the next number and the count."""
 
-    def __init__(self, rules: TrackRules, saved: str | None = None) -> None:
+    def __init__(self, rules: TrackRules, next_number: int = 1, count: int = 0) -> None:
         self.rules = rules
-        state = json.loads(saved) if saved else {"next": 1, "count": 0, "alias": {}, "tracks": {}}
-        self.next, self.count = state["next"], state["count"]
-        self.alias = {int(k): v for k, v in state["alias"].items()}
-        self.tracks = {int(k): v for k, v in state["tracks"].items()}
-
-    def dump(self) -> str:
-        return json.dumps({"next": self.next, "count": self.count, "alias": self.alias, "tracks": self.tracks})
+        self.next, self.count = next_number, count
+        self.alias: dict[int, int] = {}
+        self.tracks: dict[int, dict] = {}
 
     def _axis(self, x: float, y: float) -> float:
         return x if self.rules.vertical else y
@@ -227,43 +224,120 @@ def closing_mark(detections: DataFrame, time_col: str, delay: str) -> DataFrame:
     return last.select(*[(after if f.name == time_col else F.lit(None)).cast(f.dataType).alias(f.name) for f in detections.schema])
 
 
-def stream_track_reconnect(detections: DataFrame, rules: TrackRules, time_col: str, delay: str) -> DataFrame:
-    """Streaming form: a frame waits in the state until the watermark has passed all its rows
-    and those of the frames before it, so rows that come out of order within ``delay`` are
-    sorted first and later ones are dropped.  A ``closing_mark`` at the end lets out the last frames.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+TRACK = "raw bigint, family string, frame bigint, x double, y double, w double, h double, before_frame bigint, before_x double, before_y double, counted boolean, class string"
+WAITING = "frame bigint, raw_track_id bigint, class_name string, cx double, cy double, width double, height double, at bigint"
+DETECTION = namedtuple("DETECTION", [c.split()[0] for c in WAITING.split(", ")])
+
 
-    With ``rules.evict`` tracks older than the window leave the state.
+class TrackProcessor(StatefulProcessor):
+    """The state machine of a video on Spark's own state variables.
+
+    A map holds a row per live track, another one the raw numbers' aliases, a list
+    the rows whose frames the watermark has not passed, and a value the next
+    number and the count.  A trigger writes the tracks that changed and no others.
+    A timer lets out the next frame; with ``idle_ms`` another one drops the tracks
+    of a video that has been silent for so long, but not its numbers.
     """
-    from pyspark.sql.streaming.state import GroupStateTimeout
 
-    rows = detections.withWatermark(time_col, delay).select(*COLUMNS, F.col(time_col).alias("at")).withColumn("video_id", F.col("video_id").cast("string"))
+    def __init__(self, rules: TrackRules, idle_ms: int | None) -> None:
+        self.rules, self.idle_ms = rules, idle_ms
 
-    def run(key, batches, state):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.totals = handle.getValueState("totals", "next bigint, count bigint, last bigint")
+        self.tracks = handle.getMapState("tracks", "number bigint", TRACK)
+        self.alias = handle.getMapState("alias", "raw bigint", "number bigint")
+        self.waiting = handle.getListState("waiting", WAITING)
+
+    def handleInputRows(self, key, rows, timerValues):
         if key[0] is None:  # closing marks only
             return
-        saved, waiting = state.get if state.exists else (None, "[]")
-        held = json.loads(waiting)
-        for pdf in batches:
-            held += pdf.assign(at=pdf["at"].map(lambda t: int(t.timestamp() * 1000)))[[*COLUMNS[1:], "at"]].to_dict("records")
-        mark = state.getCurrentWatermarkMs()
-        tracks, made = Tracks(rules, saved), []
-        frames: dict[int, list[dict]] = {}
-        for h in sorted(held, key=lambda h: (h["frame"], h["raw_track_id"])):
-            frames.setdefault(int(h["frame"]), []).append(h)
-        latest = {number: max(h["at"] for h in group) for number, group in frames.items()}
-        for number in list(frames):
+        new = []
+        for pdf in rows:
+            at = pdf["at"].map(lambda t: int(t.timestamp() * 1000))
+            new += pdf.assign(at=at)[list(DETECTION._fields)].itertuples(index=False, name=None)
+        new = [(int(f), int(raw), str(name), *map(float, numbers), at) for f, raw, name, *numbers, at in new]
+        yield from self._advance(key[0], new, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from self._advance(key[0], [], timerValues.getCurrentWatermarkInMs())
+
+    def _advance(self, video: str, new: list[tuple], mark: int) -> Iterator[pd.DataFrame]:
+        """Take the new rows in, let out the frames that the watermark has passed, set the next timer."""
+        held = [DETECTION(*r) for r in (*self.waiting.get(), *new)] if self.waiting.exists() else [DETECTION(*r) for r in new]
+        frames: dict[int, list] = {}
+        for row in sorted(held, key=lambda r: (r.frame, r.raw_track_id)):
+            frames.setdefault(row.frame, []).append(row)
+        latest = {number: max(r.at for r in group) for number, group in frames.items()}
+        done = []
+        for number in frames:
             if latest[number] > mark:
                 break
-            made += tracks.frame(number, _detections(pd.DataFrame(frames.pop(number)).itertuples(index=False)))
-        state.update((tracks.dump(), json.dumps([h for group in frames.values() for h in group])))
-        if frames:
-            state.setTimeoutTimestamp(max(latest[next(iter(frames))], mark + 1))
-        if made:
-            yield _frame(key[0], made)
-
-    return rows.groupBy("video_id").applyInPandasWithState(
-        run, OUT_SCHEMA, "tracks string, waiting string", "append", GroupStateTimeout.EventTimeTimeout
-    )
+            done.append(number)
+        next_number, count, last = self.totals.get() if self.totals.exists() else (1, 0, 0)
+        if done:
+            state, was = self._load(next_number, count)
+            made = [row for number in done for row in state.frame(number, _detections(frames.pop(number)))]
+            self._store(state, was)
+            next_number, count = state.next, state.count
+            if made:
+                yield _frame(video, made)
+        last = max([last, *(r[-1] for r in new)])
+        self.totals.update((next_number, count, last))
+        left = [tuple(r) for group in frames.values() for r in group]
+        if left:
+            self.waiting.put(left)
+            self.handle.registerTimer(max(latest[next(iter(frames))], mark + 1))
+            return
+        self.waiting.clear()
+        if self.idle_ms is not None and self.tracks.exists():
+            if mark >= last + self.idle_ms:
+                self.tracks.clear()
+                self.alias.clear()
+            else:
+                self.handle.registerTimer(last + self.idle_ms)
+
+    def _load(self, next_number: int, count: int) -> tuple[Tracks, dict]:
+        state = Tracks(self.rules, next_number, count)
+        was = {int(k[0]): tuple(v) for k, v in self.tracks.iterator()} if self.tracks.exists() else {}
+        names = [c.split()[0] for c in TRACK.split(", ")]
+        for number in sorted(was):  # display numbers rise in the order in which tracks begin
+            t = dict(zip(names, was[number], strict=True))
+            seen = t.pop("before_frame"), t.pop("before_x"), t.pop("before_y")
+            state.tracks[number] = t | {"before": list(seen) if seen[0] is not None else None}
+        if self.alias.exists():
+            state.alias = {int(k[0]): int(v[0]) for k, v in self.alias.iterator()}
+        return state, {"tracks": was, "alias": dict(state.alias)}
+
+    def _store(self, state: Tracks, was: dict) -> None:
+        for number in was["tracks"].keys() - state.tracks.keys():
+            self.tracks.removeKey((number,))
+        for raw in was["alias"].keys() - state.alias.keys():
+            self.alias.removeKey((raw,))
+        for number, t in state.tracks.items():
+            row = (t["raw"], t["family"], t["frame"], t["x"], t["y"], t["w"], t["h"], *(t["before"] or (None, None, None)), t["counted"], t["class"])
+            if was["tracks"].get(number) != row:
+                self.tracks.updateValue((number,), row)
+        for raw, number in state.alias.items():
+            if was["alias"].get(raw) != number:
+                self.alias.updateValue((raw,), (number,))
+
+
+def stream_track_reconnect(detections: DataFrame, rules: TrackRules, time_col: str, delay: str, idle_ms: int | None = None) -> DataFrame:
+    """Streaming form: a frame waits in the state until the watermark has passed all its rows
+    and those of the frames before it, so rows that come out of order within ``delay`` are
+    sorted first and later ones are dropped.  A ``closing_mark`` at the end lets out the last frames.
+
+    With ``rules.evict`` tracks older than the window leave the state.  With ``idle_ms``
+    the tracks of a video without rows for so much event time leave it by a timer; the
+    result is the batch's as long as that time is no less than the window's frames take.
+    State variables need the RocksDB state store, which the session is set to.
+    """
+    detections.sparkSession.conf.set(STATE_STORE, ROCKSDB)
+    rows = detections.withWatermark(time_col, delay).select(*COLUMNS, F.col(time_col).alias("at")).withColumn("video_id", F.col("video_id").cast("string"))
+    return rows.groupBy("video_id").transformWithStateInPandas(TrackProcessor(rules, idle_ms), OUT_SCHEMA, "append", "EventTime")
 
 
 def line_crossings(tracked: DataFrame, keys: list[str], order: list[str], coordinate: str, line: float) -> DataFrame:
