@@ -40,16 +40,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def windows(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each byte on as one number, lowest first; zeros follow the last byte."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data),), "<u8", padded.data, strides=(1,))
+
+
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """Running polynomial hashes modulo 2**64: one more value than bytes."""
+    """Running polynomial hashes modulo 2**64 of the mixed 8-byte windows: one more value than bytes.
+
+    Polynomials of the bytes themselves would be equal for some regular strings
+    (of two letters that are swapped, say), whatever the base.
+    """
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data))[0], out=out[1:])
+    np.cumsum(mix64(windows(data)) * powers(len(data))[0], out=out[1:])
     return out
 
 
 def span_hashes(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Hashes of the bytes ``start:stop``; equal bytes have equal hashes wherever they stand."""
-    return (prefix[stop] - prefix[start]) * powers(len(prefix))[1][start]
+    """Hashes of the bytes ``start:stop``, 8 at least; equal bytes have equal hashes wherever they stand."""
+    return (prefix[stop - 7] - prefix[start]) * powers(len(prefix))[1][start]
 
 
 def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -82,7 +93,31 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    return mix64(span_hashes(prefix_hashes(data), start, stop) ^ (stop - start).astype(np.uint64))
+    """Hashes of the bytes ``start:stop``, 8 bytes after the other mixed in; of longer words the hashes of 64-byte parts are hashed."""
+    length = stop - start
+    out = mix64(length.astype(np.uint64) + np.uint64(1))
+    if not len(start):
+        return out
+    at = windows(data)
+    todo = np.flatnonzero(length <= 64)
+    for done in range(0, 64, 8):
+        todo = todo[length[todo] > done]
+        if not len(todo):
+            break
+        block = at[start[todo] + done]
+        left = length[todo] - done
+        part = left < 8
+        block[part] &= (np.uint64(1) << (left[part] * 8).astype(np.uint64)) - np.uint64(1)
+        out[todo] = mix64((out[todo] ^ block) * np.uint64(BASE) + np.uint64(done))
+    long = np.flatnonzero(length > 64)
+    if len(long):
+        parts = -(-length[long] // 64)
+        upto = np.cumsum(parts)
+        nth = np.arange(int(upto[-1])) - np.repeat(upto - parts, parts)
+        begin = np.repeat(start[long], parts) + 64 * nth
+        inner = word_hashes(data, begin, np.minimum(begin + 64, np.repeat(stop[long], parts)))
+        out[long] = mix64(out[long] ^ word_hashes(inner.view(np.uint8), 8 * (upto - parts), 8 * upto))
+    return out
 
 
 def shingle_hashes(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -10,7 +10,7 @@
 3. The windows of the other segments, whose anchor occurs but not with the same
    surroundings, are sorted as suffixes in lists of one anchor and place:
    mergesort whose comparisons find the longest common extension by binary search
-   over polynomial prefix hashes.  Neighbours with ``length`` bytes in common are
+   over polynomial prefix hashes of mixed windows.  Neighbours with ``length`` bytes in common are
    compared byte by byte and then repeat.
 4. An anchor with very many different segments is cut into slices that are
    sorted on their own; what is new in each slice then meets by window hash.
@@ -57,7 +57,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> d
         return {k: np.zeros(0, np.int64) for k in ("doc", "start", "n", "place", "anchor", "content")}
     prefix = K.prefix_hashes(data)
     at = np.arange(len(data) - gram + 1)
-    grams = K.mix64(K.span_hashes(prefix, at, at + gram))
+    short = K.windows(data)[at] & np.uint64((1 << 8 * gram) - 1) if gram < 8 else None
+    grams = K.mix64(K.span_hashes(prefix, at, at + gram) if short is None else short)
     low = np.uint64((1 << 24) - 1)
     least = sliding_least((grams & ~low) | (low - at.astype(np.uint64)), length - gram + 1)
     anchor = (low - (least & low)).astype(np.int64)
@@ -110,16 +111,23 @@ def find_segments(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return texts.mapInArrow(find, SEGMENTS)
 
 
-def common_extension(prefix: np.ndarray, p: np.ndarray, q: np.ndarray, most: int) -> np.ndarray:
-    """How many bytes from ``p`` and from ``q`` on are equal, up to ``most``: binary search over prefix hashes."""
-    low, high = np.zeros(len(p), np.int64), np.full(len(p), most, np.int64)
+def common_extension(at: np.ndarray, prefix: np.ndarray, p: np.ndarray, q: np.ndarray, most: int) -> np.ndarray:
+    """How many bytes from ``p`` and from ``q`` on are equal, up to ``most``: binary search over prefix hashes.
+
+    ``at`` holds the 8-byte windows that the prefix hashes run over; the first
+    one that differs tells the byte.
+    """
+    low, high = np.zeros(len(p), np.int64), np.full(len(p), most - 7, np.int64)  # equal windows
     step = K.powers(len(prefix))[1]
     a, b, pa_, pb = prefix[p], prefix[q], step[p], step[q]
     while (low < high).any():
         mid = (low + high + 1) >> 1
         same = (prefix[p + mid] - a) * pa_ == (prefix[q + mid] - b) * pb
         low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-    return low
+    reach = np.minimum(low, most - 8)
+    differ = at[p + reach] ^ at[q + reach]
+    bytes_equal = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3
+    return np.where(low > most - 8, most, np.minimum(low + bytes_equal, most))
 
 
 def suffix_order(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, lists: np.ndarray, most: int) -> np.ndarray:
@@ -130,7 +138,7 @@ def suffix_order(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, lists: np
     begin = np.searchsorted(lists, lists, "left")
     end = np.searchsorted(lists, lists, "right")
     order = np.arange(len(at))
-    padded = np.append(data, np.zeros(1, np.uint8))
+    windows = K.windows(data)
     width, longest = 1, int((end - begin).max()) if len(at) else 0
     while width < longest:
         slot = np.arange(len(at))
@@ -144,8 +152,8 @@ def suffix_order(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, lists: np
         while len(todo):
             mid = (low[todo] + high[todo]) >> 1
             p, q = mine[todo], at[order[mid]]
-            ext = common_extension(prefix, p, q, most)
-            x, y = padded[p + np.minimum(ext, most - 1)].astype(np.int16), padded[q + np.minimum(ext, most - 1)].astype(np.int16)
+            ext = common_extension(windows, prefix, p, q, most)
+            x, y = data[p + np.minimum(ext, most - 1)], data[q + np.minimum(ext, most - 1)]
             equal = ext >= most
             before = np.where(equal, ~left[todo], y < x)  # the other run's suffix comes first
             low[todo] = np.where(before, mid + 1, low[todo])
@@ -174,7 +182,7 @@ def repeated_windows(contents: list[np.ndarray], n: np.ndarray, place: np.ndarra
     order = suffix_order(data, prefix, at, key, length)
     p, q = at[order[:-1]], at[order[1:]]
     near = np.flatnonzero(key[order[:-1]] == key[order[1:]])
-    near = near[common_extension(prefix, p[near], q[near], length) >= length]
+    near = near[common_extension(K.windows(data), prefix, p[near], q[near], length) >= length]
     reach = np.arange(length)
     for i in range(0, len(near), 50_000):  # the bytes themselves, against equal hashes of different strings
         part = near[i : i + 50_000]

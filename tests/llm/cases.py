@@ -57,6 +57,8 @@ def documents() -> list[tuple[int | None, str | None, str | None]]:
         (None, None, None),
         (-5, "Minus five " + prose(10, 30), "a"),
     ]
+    letters = [bin(i).count("1") % 2 for i in range(1024)]  # equal polynomial hashes modulo 2**64, whatever the base
+    rows += [(90 + i, "".join("ab"[x ^ i] for x in letters), "letters") for i in range(2)]
     small = prose(11, 14, 10**6).split(" ")
     rows += [(30 + i, " ".join(small[: 14 - i]), "s") for i in range(5)]  # small sets one shingle apart
     rows += [(40 + i, edited(base, [50 + i]), "group") for i in range(25)]  # a group of near copies
