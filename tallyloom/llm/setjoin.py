@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import materialise
+from ..session import materialise, scratch
 from . import kernels as K
 from .registry import register, table
 
@@ -256,7 +256,11 @@ def set_components(docs: DataFrame, doc_id: str, text: str, k: int = SHINGLE, pe
     or null.  Other columns are ignored; an empty table gives an empty result.
     """
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    with scratch(docs.sparkSession) as keep:
+        return keep(_components(source, k, percent), "set_components")
 
+
+def _components(source: DataFrame, k: int, percent: int) -> DataFrame:
     counted = materialise(count_elements(source.select("text"), k), "elements")
     sizes = {r["size"]: r["n"] for r in counted.filter("size > 0").select("size", "n").collect()}
     total = counted.filter("size = -1").agg(F.sum("n")).first()[0] or 0
@@ -281,13 +285,19 @@ def set_components(docs: DataFrame, doc_id: str, text: str, k: int = SHINGLE, pe
 
     shared = materialise(listed(posts).drop("hub"), "shared")
     least_partner = F.ceil(F.col("n") * percent / 100)
-    needed = 1 + F.floor((least_partner - F.ceil(least_partner * percent / 100) + 1) / 2)  # shared_needed, as a column
+    first = F.col("n") - least_partner + 1  # prefix_size, as a column
+    needed = 1 + F.floor((least_partner - F.ceil(least_partner * percent / 100) + 1) / 2)  # shared_needed of the least partner
+    heavy = F.col("n") > boundary
     enough = shared.groupBy("node", "n").agg(F.count(F.lit(1)).alias("c"))
-    enough = enough.withColumn("spare", F.when(F.col("n") > boundary, F.col("c") - needed).otherwise(F.col("c"))).filter("spare >= 0")
+    enough = enough.withColumn("spare", F.when(heavy, F.col("c") - needed).otherwise(F.col("c"))).filter("spare >= 0")
+    # posted elements that no other set has posted
+    enough = enough.withColumn("alone", F.when(heavy, F.least(first + F.floor(first / 2), F.col("n")) - F.col("c")))
     # of c shared elements, of which a partner has all but ``spare``, the spare + 1 in the shortest lists meet it
     nth = F.row_number().over(Window.partitionBy("node").orderBy("len", "key"))
-    few = shared.join(enough.select("node", "spare"), "node").withColumn("nth", nth).filter("nth <= spare + 1")
-    members = materialise(listed(few.select("node", "n", "key")).drop("len"), "members")
+    few = shared.join(enough.select("node", "spare", "alone"), "node").withColumn("nth", nth).filter("nth <= spare + 1")
+    # elements that a partner lacks whose first common list this is, see ``_meet``
+    few = few.withColumn("lacks", F.coalesce(F.col("alone") + F.col("nth") - 1, F.lit(0)).cast("int"))
+    members = materialise(listed(few.select("node", "n", "key", "lacks")).drop("len"), "members")
 
     seen = fetched = None
 
@@ -318,9 +328,8 @@ def set_components(docs: DataFrame, doc_id: str, text: str, k: int = SHINGLE, pe
 
     size_of = about.select(F.col("node").alias("hub"), F.col("n").alias("nb"))
     starts = members.filter("node <> hub").select("node", "n", "hub").distinct().join(size_of, "hub")
-    links = verify(starts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("hub").alias("b"), "nb"))
-    labels = connected_components(links)
-    open_lists, joined = members.withColumnRenamed("hub", "done"), -1
+    labels = connected_components(verify(starts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("hub").alias("b"), "nb")))
+    open_lists, joined = members.withColumnRenamed("hub", "done"), True
     while True:
         # a list is settled when its members, without centres that met all others, are of one component
         named = open_lists.filter("node <> done").drop("done").join(labels.withColumnRenamed("id", "node"), "node", "left")
@@ -331,26 +340,23 @@ def set_components(docs: DataFrame, doc_id: str, text: str, k: int = SHINGLE, pe
             F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("hub", "component").alias("hub"), F.sum(c).alias("all"), F.sum(c * c).alias("same")
         )
         spread = spread.filter("lo < hi").withColumn("pairs", (F.col("all") * F.col("all") - F.col("same")) / 2)
-        named = named.join(spread, "key").select("key", "node", "n", "component", "hub", "lo", "all", (F.col("pairs") / F.col("all")).alias("share"))
+        named = named.join(spread, "key").select("key", "node", "n", "lacks", "component", "hub", "lo", "all", (F.col("pairs") / F.col("all")).alias("share"))
         named = materialise(named, "open")
         size, pairs = named.agg(F.count(F.lit(1)), F.sum("share")).first()
-        before, joined = joined, labels.filter("id <> component").count() if (pairs or 0) > FEW_PAIRS * size else joined
-        if joined == before:
+        if not joined or (pairs or 0) <= FEW_PAIRS * size:
             break
         a, b = F.struct("node", "n"), F.col("hub")
         star = named.filter("component <> lo").select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
         star = star.select(F.col("a.node").alias("a"), F.col("a.n").alias("na"), F.col("b.node").alias("b"), F.col("b.n").alias("nb"))
-        links = links.unionByName(verify(star))
-        labels = connected_components(links)
-        open_lists = named.select("node", "n", "key", F.col("hub.node").alias("done"))
+        labels, joined = _joined(labels, verify(star))
+        open_lists = named.select("node", "n", "key", "lacks", F.col("hub.node").alias("done"))
 
     if not named.isEmpty():
         band = F.floor(F.log("n") / math.log(100 / percent) + 1e-9)
-        known = named.join(about.select("node", "counts"), "node").select("key", "node", "component", "n", "counts", "all")
+        known = named.join(about.select("node", "counts"), "node").select("key", "node", "component", "n", "lacks", "counts", "all")
         short = known.filter(F.col("all") <= SHORT).withColumn("band", F.lit(0).cast("bigint"))
         long = known.filter(F.col("all") > SHORT).withColumn("band", F.explode(F.array(band, band + 1)))
-        links = links.unionByName(verify(_meet(short.unionByName(long), percent)))
-        labels = connected_components(links)
+        labels, _ = _joined(labels, verify(_meet(short.unionByName(long), percent)))
     of = kinds.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of.groupBy("component").agg(F.min("least").alias("first"))
     of = of.join(least, "component").select("s1", "s2", "n", "first")
@@ -360,23 +366,53 @@ def set_components(docs: DataFrame, doc_id: str, text: str, k: int = SHINGLE, pe
     return out.select("doc_id", "text_hash", F.col("n").cast("bigint").alias("n_shingles"), mine.alias("component_id"), stays.alias("stays"))
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
+    """``labels`` with the components that new links join, and whether any do; only the links' components are contracted."""
+    of = labels.select("id", "component")
+    for side in ("a", "b"):
+        links = links.join(of.select(F.col("id").alias(side), F.col("component").alias(f"__{side}")), side, "left")
+    links = links.select(F.coalesce("__a", "a").alias("a"), F.coalesce("__b", "b").alias("b")).filter("a <> b").distinct()
+    links = materialise(links, "joins")
+    if links.isEmpty():
+        return labels, False
+    step = connected_components(links)
+    moved = of.join(step.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
+    new = step.join(of.select("id"), "id", "left_anti")
+    return materialise(moved.select("id", F.coalesce("to", "component").alias("component")).unionByName(new), "labels"), True
+
+
 def one_of_each(docs: DataFrame, doc_id: str, text: str, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each component, and those without a set."""
-    stay = set_components(docs, doc_id, text, k, percent).filter("stays")
-    stay = stay.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"))
-    keyed = docs.withColumn("__th", F.xxhash64(text)).withColumn("__id", F.col(doc_id).cast("bigint"))
-    kept = keyed.join(stay, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__h")), "left_semi")
-    # of equal rows one stays, unless they have no set
-    nth = F.row_number().over(Window.partitionBy("__id", "__th").orderBy(F.lit(0)))
-    empty = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return kept.withColumn("__n", nth).filter((F.col("__n") == 1) | empty).select(*docs.columns)
+    """The rows of ``docs`` that stay: one of each component, and those without a set.
+
+    Of rows that share id and text the one whose columns have the least hash
+    stays.  Null and empty texts, and those of white space only, have no set and
+    all stay.
+    """
+    with scratch(docs.sparkSession) as keep:
+        found = set_components(docs, doc_id, text, k, percent).filter("n_shingles > 0")
+        found = found.groupBy(F.struct("doc_id", "text_hash").alias("__key")).agg(F.max("stays").alias("stays"), (F.count(F.lit(1)) > 1).alias("__many"))
+        stay = keep(found.filter("stays").drop("stays"), "stay")
+    key = F.struct(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"))
+    keyed = docs.select(key.alias("__key"), F.struct(*docs.columns).alias("__row"), F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("__set"))
+    kept = keyed.filter("__set").join(stay, "__key")
+    copies = kept.filter("__many").groupBy("__key").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
+    rows = keyed.filter("not __set").select("__row").unionByName(kept.filter("not __many").select("__row")).unionByName(copies.select("__row"))
+    return rows.select("__row.*")
 
 
 def _meet(banded: DataFrame, percent: int) -> DataFrame:
-    """``(a, na, b, nb)`` of different components in one list and band that may link."""
-    left = banded.select("key", "band", F.col("node").alias("a"), F.col("component").alias("pa"), F.col("n").alias("na"), F.col("counts").alias("ca"))
-    right = banded.select("key", "band", F.col("node").alias("b"), F.col("component").alias("pb"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
-    met = left.join(right, ["key", "band"]).filter((F.col("a") > F.col("b")) & (F.col("pa") != F.col("pb")) & _possible(percent))
+    """``(a, na, b, nb)`` of different components in one list and band that may link.
+
+    In the first list that two linked sets share, in the common order of the
+    lists, each has ``lacks`` posted elements that the other has not posted.  The
+    one whose posted elements end earlier holds none of them in the other, so
+    either set has enough elements left for the link.
+    """
+    left = banded.select("key", "band", F.col("node").alias("a"), F.col("component").alias("pa"), F.col("n").alias("na"), F.col("lacks").alias("la"), F.col("counts").alias("ca"))
+    right = banded.select("key", "band", F.col("node").alias("b"), F.col("component").alias("pb"), F.col("n").alias("nb"), F.col("lacks").alias("lb"), F.col("counts").alias("cb"))
+    left_over = F.greatest(F.col("na") - F.col("la"), F.col("nb") - F.col("lb")).cast("bigint")
+    room = left_over * (100 + percent) >= (F.col("na") + F.col("nb")).cast("bigint") * percent
+    met = left.join(right, ["key", "band"]).filter((F.col("a") > F.col("b")) & (F.col("pa") != F.col("pb")) & room & _possible(percent))
     return met.select("a", "na", "b", "nb").distinct()
 
 
