@@ -56,20 +56,20 @@ def test_merge(spark, models):
     assert r["lower"] == pytest.approx(0.6 * ts[0]["a </s>"][0] + 0.4 * ts[1]["</s>"][0])
 
 
-def test_tuning_follows_brute_force(spark, models):
-    lines = ["a b c", "b b a"]
-    ts = tables(models)
+def brute_tuning(ts, lines, order, rounds):
+    """Newton steps by summing over the whole vocabulary for every token."""
+    n = len(ts)
     vocab = sorted({w for t in ts for w in t if " " not in w} - {"<s>"})
     inst = []
     for line in lines:
         seq = ["<s>", *line.split(), "</s>"]
-        inst += [(tuple(seq[max(0, i - 2): i]), seq[i]) for i in range(1, len(seq))]
-    w = np.array([0.5, 0.5])
-    want = []
-    for _ in range(3):
-        g, h, obj = np.zeros(2), np.zeros((2, 2)), 0.0
+        inst += [(tuple(seq[max(0, i - order + 1): i]), seq[i]) for i in range(1, len(seq))]
+    logs = {c: {v: np.log(10) * np.array([logp(t, c, v) for t in ts]) for v in {*vocab, *(w for d, w in inst if d == c)}} for c, _ in inst}
+    w, want = np.full(n, 1 / n), []
+    for _ in range(rounds):
+        g, h, obj = np.zeros(n), np.zeros((n, n)), 0.0
         for ctx, word in inst:
-            lp = {v: np.log(10) * np.array([logp(t, ctx, v) for t in ts]) for v in vocab}
+            lp = logs[ctx]
             un = {v: np.exp(w @ lp[v]) for v in vocab}
             z = sum(un.values())
             mean = sum(un[v] / z * lp[v] for v in vocab)
@@ -78,11 +78,46 @@ def test_tuning_follows_brute_force(spark, models):
             obj += np.log(z) - w @ lp[word]
         want.append((w.copy(), np.exp(obj / len(inst))))
         w = w - 0.7 * np.linalg.solve(h, g)
-    got = mix.tune_weights(models, corpus(spark, lines), 3, rounds=3)
+    return want, w
+
+
+def check_tuning(spark, models, lines, order, rounds):
+    want, last = brute_tuning(tables(models), lines, order, rounds)
+    got = mix.tune_weights(models, corpus(spark, lines), order, rounds=rounds)
     for (ww, ppl), row in zip(want, got):
-        assert row["weights"] == pytest.approx(list(ww), abs=1e-7)
-        assert row["perplexity"] == pytest.approx(ppl, abs=1e-7)
-    assert got[-1]["weights"] == pytest.approx(list(w), abs=1e-6)
+        assert row["weights"] == pytest.approx(list(ww), abs=1e-9)
+        assert row["perplexity"] == pytest.approx(ppl, abs=1e-9)
+    assert got[-1]["weights"] == pytest.approx(list(last), abs=1e-9)
+
+
+def test_tuning_follows_brute_force(spark, models):
+    check_tuning(spark, models, ["a b c", "b b a"], 3, 3)
+
+
+def test_tuning_three_models_of_order_four(spark):
+    """Contexts that share suffixes, n-grams that only one model has, words that none knows."""
+    import random
+
+    from tallyloom.session import materialise
+
+    r = random.Random(5)
+    text = lambda letters, k: [" ".join(r.choice(letters) for _ in range(r.randrange(1, 9))) for _ in range(k)]
+    three = [materialise(m.train(corpus(spark, text(x, 25)), 4, m.FALLBACK_DISCOUNTS), "four") for x in ("aab", "abcc", "bcd")]
+    check_tuning(spark, three, [*text("abcd", 8), "a q b c a"], 4, 2)
+
+
+def test_partition_sums_are_whole(spark, models):
+    """The sums of a node are those over the vocabulary, and no table grows with contexts times followers."""
+    ts = tables(models)
+    vocab = sorted({w for t in ts for w in t if " " not in w} - {"<s>"})
+    uni, nodes, followers, _ = mix.tuning_tree(models, corpus(spark, ["a b c", "b b a", "c c c"]), 3)
+    assert followers.count() <= len({w for t in ts for w in t if " " in w})
+    lam = [0.7, 0.4]
+    for level in mix.partition_sums(uni, nodes, followers, lam, 3).values():
+        for row in level.collect():
+            logs = [np.log(10) * np.array([logp(t, tuple(row["ctx"].split(" ")), v) for t in ts]) for v in vocab]
+            assert row["s"] == pytest.approx(sum(np.exp(np.dot(lam, x)) for x in logs), rel=1e-12)
+            assert row["s_0_1"] == pytest.approx(sum(np.exp(np.dot(lam, x)) * x[0] * x[1] for x in logs), rel=1e-12)
 
 
 def ngram_df(spark, items):
