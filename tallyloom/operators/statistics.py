@@ -6,11 +6,12 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import rank_by_order
-from ..functions.stable import HASH_BITS
+from ..functions.stable import HASH_BITS, stable_hash
 
 
 def paired_join(a: DataFrame, b: DataFrame, key: str, value: str, weights: Sequence[str], order: str | None = None) -> DataFrame:
@@ -66,22 +67,73 @@ def _interval(means: DataFrame, rounds: int, level: float) -> DataFrame:
     return means.agg(sorted_means.alias("s")).select(F.get("s", F.lit(low)).alias("ci_low"), F.get("s", F.lit(high)).alias("ci_high"))
 
 
+#: The multipliers and the step of the 32-bit mixing function of the draws.
+MIX_1, MIX_2, GOLDEN = 2146121005, 2221713035, 2654435769
+CHUNK = 1024  # rows that are weighed together
+FIXED = 38  # bits of a value over the largest one; weights of at most 12 keep a chunk's sum below 53
+
+
+def draw_bits(seed: np.ndarray, rounds: int) -> np.ndarray:
+    """32 bits per seed and round, by mixing the seed with a counter."""
+    x = seed[:, None] + np.arange(rounds, dtype=np.uint32) * np.uint32(GOLDEN)
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(MIX_1)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(MIX_2)
+    x ^= x >> np.uint32(16)
+    return x
+
+
+def _whole(rows: DataFrame, value: str) -> tuple[DataFrame, float, int]:
+    """``__v`` as whole numbers of FIXED bits below the largest size, that size, and the number of rows with a value."""
+    valued = rows.filter(F.col(value).isNotNull()).withColumn("__v", F.col(value).cast("double"))
+    top, count = valued.agg(F.max(F.abs("__v")), F.count(F.lit(1))).first()
+    scale = math.ldexp(1.0, FIXED - math.frexp(top)[1]) if top else 1.0
+    return valued.withColumn("__v", F.round(F.col("__v") * scale).cast("bigint")), scale, count
+
+
+def _merged_means(parts: DataFrame, scale: float) -> DataFrame:
+    """``(r, m)`` from one row of round sums per task; sums of whole numbers do not depend on their order."""
+    each = parts.select(F.posexplode(F.arrays_zip("total", "weight")).alias("r", "x"))
+    sums = each.groupBy("r").agg(F.sum(F.col("x.total").cast("decimal(38,0)")).alias("t"), F.sum("x.weight").alias("w"))
+    return sums.select("r", (F.col("t").cast("double") / F.greatest("w", F.lit(1)) / scale).alias("m"))
+
+
+def _part(totals: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([totals], pa.list_(pa.int64())), pa.array([weights], pa.list_(pa.int64()))], names=["total", "weight"])
+
+
 def bootstrap_ci(rows: DataFrame, id_col: str, value: str, rounds: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
     """Interval of the mean by a Poisson bootstrap: one scan, no resampled table.
 
-    Every row takes part in each round with a Poisson(1) weight drawn from its
-    hash; sums combine before the shuffle, which moves one row per round and task.
+    Every row takes part in each round with a Poisson(1) weight, drawn by mixing
+    its hash with the round's number.  A task adds its rows up to one vector of
+    round sums; only these vectors are shuffled, rounds x tasks numbers.  Values
+    are whole numbers there, so the interval is the same for any partitioning.
+    Rows without a value take no part.
     """
-    drawn = rows.select(F.col(id_col).alias("__id"), F.col(value).cast("double").alias("__v")).select(
-        "__id", "__v", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("r")
-    )
-    h = _round_hash(F.col("__id"), F.col("r"), seed)
-    weight = F.lit(0)
-    weighed = drawn.select("r", "__v", h.alias("h"))
-    for c in poisson_cuts():
-        weight = weight + (F.col("h") >= c).cast("int")
-    means = weighed.groupBy("r").agg((F.sum(weight * F.col("__v")) / F.greatest(F.sum(weight), F.lit(1))).alias("m"))
-    return _interval(means, rounds, level)
+    valued, scale, _ = _whole(rows.select(F.col(id_col).alias("__id"), value), value)
+    cuts = np.array(poisson_cuts(), np.uint64)
+    cuts = cuts[cuts < 1 << 32].astype(np.uint32)
+
+    def add(batches):
+        totals, weights, held = np.zeros(rounds, np.int64), np.zeros(rounds, np.int64), 0
+        for batch in batches:
+            seeds, values = batch.column(0).to_numpy().astype(np.uint32), batch.column(1).to_numpy().astype(float)
+            for i in range(0, len(seeds), CHUNK):
+                bits = draw_bits(seeds[i : i + CHUNK], rounds)
+                weight = sum((bits >= c).astype(np.float64) for c in cuts)
+                totals += (values[i : i + CHUNK] @ weight).astype(np.int64)  # exact in doubles, see FIXED
+                weights += weight.sum(axis=0).astype(np.int64)
+                held += len(weight)
+                if held >= 1 << 20:  # no sum of so many leaves 64 bits
+                    yield _part(totals, weights)
+                    totals, weights, held = np.zeros(rounds, np.int64), np.zeros(rounds, np.int64), 0
+        if held:
+            yield _part(totals, weights)
+
+    parts = valued.select(stable_hash(F.col("__id"), seed).alias("s"), "__v").mapInArrow(add, "total array<bigint>, weight array<bigint>")
+    return _interval(_merged_means(parts, scale), rounds, level)
 
 
 def bootstrap_ci_exact(rows: DataFrame, order: str, value: str, rounds: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
@@ -93,6 +145,82 @@ def bootstrap_ci_exact(rows: DataFrame, order: str, value: str, rounds: int = 20
     return _interval(means, rounds, level)
 
 
+LEAF = 1024  # ranks of a leaf of the tree of draws
+
+
+def leaf_draws(leaf: int, n: int, rounds: int, seed: int, width: int = LEAF) -> np.ndarray:
+    """How many of n draws fall on a leaf's ranks in each round.
+
+    A tree halves the leaves; at every node a binomial number of its draws goes
+    to the left.  A node's numbers come from a generator of its own, so every
+    leaf finds the same ones on its way down.
+    """
+    counts, low, high = np.full(rounds, n, np.int64), 0, -(-n // width)
+    while high - low > 1:
+        mid = (low + high) // 2
+        size, left = min(high * width, n) - low * width, (mid - low) * width
+        generator = np.random.Generator(np.random.Philox(key=[seed & (2**64 - 1), (low << 32) | high]))
+        to_left = generator.binomial(counts, left / size)
+        counts, low, high = (to_left, low, mid) if leaf < mid else (counts - to_left, mid, high)
+    return counts
+
+
+def bootstrap_ci_multinomial(rows: DataFrame, order: str, value: str, rounds: int = 2000, seed: int = 0, level: float = 0.95, width: int = LEAF) -> DataFrame:
+    """Resampling with replacement, n of n rows in every round, for tables of any size.
+
+    Rows are ranked by ``order`` and cut into leaves of ``width`` ranks.  The number of
+    draws on each leaf splits down a tree, then a leaf draws its rows by itself,
+    so no draw is shuffled: a task gives one vector of round sums.  The leaves hang
+    on ranks alone, so the interval is the same for any partitioning.
+    """
+    valued, scale, n = _whole(rows.select(order, value), value)
+    ranked = rank_by_order(valued.select(order, "__v"), [], [order, "__v"], rank="__r")
+    placed = ranked.select(((F.col("__r") - 1) / width).cast("bigint").alias("leaf"), (F.col("__r") - 1).alias("at"), "__v")
+    placed = placed.repartition("leaf").sortWithinPartitions("leaf", "at")
+
+    def sums(leaf: int, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        counts = leaf_draws(leaf, n, rounds, seed, width)
+        generator = np.random.Generator(np.random.Philox(key=[seed & (2**64 - 1), (1 << 63) | leaf]))
+        picked = generator.integers(0, len(values), int(counts.sum()))
+        ends = np.cumsum(counts)
+        running = np.concatenate([[0], np.cumsum(values[picked])])
+        return running[ends] - running[ends - counts], counts
+
+    def draw(batches):
+        leaf, held, out = None, [], []
+        totals, weights = np.zeros(rounds, np.int64), np.zeros(rounds, np.int64)
+        done = 0
+
+        def close():
+            nonlocal totals, weights, done
+            t, w = sums(leaf, np.concatenate(held))
+            totals, weights, done = totals + t, weights + w, done + 1
+            if done % 128 == 0:
+                out.append(_part(totals, weights))
+                totals, weights = np.zeros(rounds, np.int64), np.zeros(rounds, np.int64)
+
+        for batch in batches:
+            leaf_of, values = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            edges = [0, *(np.flatnonzero(leaf_of[1:] != leaf_of[:-1]) + 1).tolist(), len(leaf_of)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if b > a:
+                    if held and leaf_of[a] != leaf:
+                        close()
+                        held = []
+                    leaf = int(leaf_of[a])
+                    held.append(values[a:b])
+            yield from out
+            out.clear()
+        if held:
+            close()
+        yield from out
+        if done % 128:
+            yield _part(totals, weights)
+
+    parts = placed.mapInArrow(draw, "total array<bigint>, weight array<bigint>")
+    return _interval(_merged_means(parts, scale), rounds, level)
+
+
 def pca(rows: DataFrame, features: str, k: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """Projections on the top k components of the centred data, components and variances (1/N).
 

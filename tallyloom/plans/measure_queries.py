@@ -265,7 +265,9 @@ ROUNDS = 200
 _CUTS = " + ".join(f"(h >= {c})::INTEGER" for c in st.poisson_cuts())
 
 
-@register("st_3_bootstrap_ci", f"""WITH {_PJ}, dr AS (SELECT delta, r, ('0x' || substr(md5(k || ':' || r || ':9'), 1, 8))::BIGINT AS h FROM pj, (SELECT unnest(range({ROUNDS})) AS r)),
+@register("st_3_bootstrap_ci", f"""WITH {_PJ}, x0 AS (SELECT delta, r, ((('0x' || substr(md5(k || ':9'), 1, 8))::BIGINT + r * {st.GOLDEN}) & 4294967295)::UBIGINT AS x FROM pj, (SELECT unnest(range({ROUNDS})) AS r)),
+x1 AS (SELECT delta, r, (xor(x, x >> 16) * {st.MIX_1}::UBIGINT) & 4294967295 AS x FROM x0), x2 AS (SELECT delta, r, (xor(x, x >> 15) * {st.MIX_2}::UBIGINT) & 4294967295 AS x FROM x1),
+dr AS (SELECT delta, r, xor(x, x >> 16) AS h FROM x2),
 me AS (SELECT r, sum(({_CUTS}) * delta) / greatest(sum({_CUTS}), 1) AS m FROM dr GROUP BY 1), so AS (SELECT list(m ORDER BY m) AS s FROM me)
 SELECT round(s[{int(0.025 * (ROUNDS - 1)) + 1}], 4) AS ci_low, round(s[{int(0.975 * (ROUNDS - 1)) + 1}], 4) AS ci_high FROM so""")
 def st_3(spark, d):
@@ -282,6 +284,13 @@ def st_3b(spark, d):
     return ci.select(F.round("ci_low", 4).alias("ci_low"), F.round("ci_high", 4).alias("ci_high"))
 
 
+@register("st_3_bootstrap_ci_multinomial")
+def st_3c(spark, d):
+    """Exactly n draws a round; draws of a tree are not SQL, tests hold them against a plain version."""
+    return st.bootstrap_ci_multinomial(pairs(spark, d), "k", "delta", ROUNDS, 9)
+
+
+
 @register("st_4_pca")
 def st_4(spark, d):
     projected, _, _ = st.pca(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", 3)
