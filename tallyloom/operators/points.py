@@ -73,10 +73,6 @@ def spatial_core_filter(
     }
 
 
-def _cell(side: float) -> list[Column]:
-    return [F.floor(F.col(a).cast("double") / side).alias(f"c{a}") for a in AXES]
-
-
 CELL = ["cx", "cy", "cz"]
 
 
@@ -88,9 +84,88 @@ def _near_cells(df: DataFrame, keep: list[str]) -> DataFrame:
     return df
 
 
-def _within(a: str, b: str, radius: float) -> Column:
-    parts = [F.pow(F.col(f"{a}.{x}").cast("double") - F.col(f"{b}.{x}").cast("double"), 2) for x in AXES]
-    return F.sqrt(parts[0] + parts[1] + parts[2]) <= radius
+FEW = 64  # point pairs of two cells that are compared one by one
+
+
+def _nested(level: int) -> list[Column]:
+    """The cell's part a point lies in when every side is halved ``level`` times; exact, as the factor is a power of 2."""
+    return [F.floor(F.col(f"q{a}") * float(1 << level)).alias(f"k{a}") for a in AXES]
+
+
+PART = ["kx", "ky", "kz"]
+
+
+def _placed(points: DataFrame, side: float, keep: list[str]) -> DataFrame:
+    """Points with their cell ``root`` and their place in units of its side."""
+    q = [(F.col(a).cast("double") / side).alias(f"q{a}") for a in AXES]
+    return points.select(*keep, *[F.col(a).cast("double").alias(a) for a in AXES], *q).withColumn("root", F.struct(*[F.floor(f"q{a}").alias(f"c{a}") for a in AXES]))
+
+
+def _boxes(placed: DataFrame, level: int) -> DataFrame:
+    """``(root, part, n, lo, hi)``: number and bounding box of the points of each part."""
+    grouped = placed.groupBy("root", F.struct(*_nested(level)).alias("part"))
+    return grouped.agg(F.count(F.lit(1)).alias("n"), F.struct(*[F.min(a).alias(a) for a in AXES]).alias("lo"), F.struct(*[F.max(a).alias(a) for a in AXES]).alias("hi"))
+
+
+def _norm(parts: list[Column]) -> Column:
+    return F.sqrt(F.pow(parts[0], 2) + F.pow(parts[1], 2) + F.pow(parts[2], 2))
+
+
+def _bounds() -> tuple[Column, Column]:
+    """The least and greatest distance that points of boxes a and b can have, rounded like distances of points."""
+    gap = [F.greatest(F.col(f"lo_b.{x}") - F.col(f"hi_a.{x}"), F.col(f"lo_a.{x}") - F.col(f"hi_b.{x}"), F.lit(0.0)) for x in AXES]
+    far = [F.greatest(F.col(f"hi_b.{x}") - F.col(f"lo_a.{x}"), F.col(f"hi_a.{x}") - F.col(f"lo_b.{x}")) for x in AXES]
+    return _norm(gap), _norm(far)
+
+
+def near_parts(pairs: DataFrame, left: DataFrame, right: DataFrame, radius: float, each: bool) -> DataFrame:
+    """Which cells, or with ``each`` which left points, have points at most ``radius`` apart.
+
+    ``pairs`` are ``(root_a, root_b)`` cells of the ``_placed`` points of both
+    sides.  Gives ``(root_a, root_b)`` or the left points' ``(id)``.  Both cells are halved together: a pair of parts whose boxes are
+    too far apart is dropped, one whose boxes lie within the radius is done, and
+    only the others are halved again, down to FEW pairs of points.  So two full
+    cells are decided by the parts along their border.
+    """
+    pairs = materialise(pairs.select("root_a", "root_b").distinct(), "pairs")
+    out, level = None, 0
+    frontier = pairs.select("root_a", "root_b", F.lit(None).cast("struct<kx:bigint,ky:bigint,kz:bigint>").alias("up_a"), F.lit(None).cast("struct<kx:bigint,ky:bigint,kz:bigint>").alias("up_b"))
+    while True:
+        sided = frontier
+        for side, points in (("a", left), ("b", right)):
+            used = points.join(frontier.select(F.col(f"root_{side}").alias("root")).distinct(), "root", "left_semi")
+            box = _boxes(used, level).select(F.col("root").alias(f"root_{side}"), F.col("part").alias(f"part_{side}"), F.col("n").alias(f"n_{side}"), F.col("lo").alias(f"lo_{side}"), F.col("hi").alias(f"hi_{side}"))
+            if level:
+                halved = F.struct(*[F.floor(F.col(f"part_{side}.{k}") / 2).alias(k) for k in PART])
+                sided = sided.join(box.withColumn(f"up_{side}", halved), [f"root_{side}", f"up_{side}"])
+            else:
+                sided = sided.join(box, f"root_{side}")
+        least, most = _bounds()
+        # boxes of no extent have equal bounds, so every pair is decided at last
+        tested = sided.withColumn("least", least).filter(F.col("least") <= radius)
+        tested = materialise(tested.select("root_a", "root_b", "part_a", "part_b", "n_a", "n_b", (most <= radius).alias("within")), f"parts{level}")
+        hit = tested.filter("within")
+        if each:
+            hit = hit.select("root_a", "part_a").distinct()
+            found = left.withColumn("part_a", F.struct(*_nested(level))).join(hit.withColumnRenamed("root_a", "root"), ["root", "part_a"], "left_semi").select("id")
+            rest = tested.join(hit, ["root_a", "part_a"], "left_anti")
+        else:
+            found = hit.select("root_a", "root_b").distinct()
+            rest = tested.join(found, ["root_a", "root_b"], "left_anti")
+        small = F.col("n_a") * F.col("n_b") <= FEW
+        points_of = lambda t, side: t.select(F.col("root").alias(f"root_{side}"), F.struct(*_nested(level)).alias(f"part_{side}"), F.struct(*AXES).alias(f"p_{side}"), *(["id"] if each and side == "a" else []))
+        last = rest.filter(small).join(points_of(left, "a"), ["root_a", "part_a"]).join(points_of(right, "b"), ["root_b", "part_b"])
+        apart = _norm([F.col(f"p_a.{x}") - F.col(f"p_b.{x}") for x in AXES])
+        found = found.unionByName(last.filter(apart <= radius).select(*(["id"] if each else ["root_a", "root_b"])).distinct())
+        found = materialise(found, "found")
+        out = found if out is None else out.unionByName(found)
+        rest = rest.filter(~small)
+        if not each:
+            rest = rest.join(found, ["root_a", "root_b"], "left_anti")
+        frontier = materialise(rest.select("root_a", "root_b", F.col("part_a").alias("up_a"), F.col("part_b").alias("up_b")), "frontier")
+        if frontier.isEmpty():
+            return out.distinct()
+        level += 1
 
 
 def radius_components(points: DataFrame, radius: float) -> DataFrame:
@@ -99,41 +174,31 @@ def radius_components(points: DataFrame, radius: float) -> DataFrame:
     With cells of side radius / sqrt(3) all points of one cell belong together,
     so the graph is one of cells.  Two near cells are first tested with the
     outermost points of each (a fixed number per cell); only cell pairs that this
-    leaves in different components are compared point by point.
+    leaves in different components are halved on, see ``near_parts``.
     """
     side = radius / math.sqrt(3.0) * (1 - 1e-12)
-    placed = materialise(points.select("id", *AXES, *_cell(side)), "cells")
-    named = placed.withColumn("cell", F.xxhash64(*CELL))
+    named = materialise(_placed(points, side, ["id"]), "cells")
     directions = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) > (0, 0, 0)]
-    dots = [sum((F.col(a).cast("double") * s for a, s in zip(AXES, d)), F.lit(0.0)) for d in directions]
+    dots = [sum((F.col(a) * float(s) for a, s in zip(AXES, d)), F.lit(0.0)) for d in directions]
     point = F.struct(*AXES)
-    outer = named.groupBy("cell", *CELL).agg(
-        F.array_distinct(F.array(*[f(point, dot) for dot in dots for f in (F.min_by, F.max_by)])).alias("ps")
-    )
-    outer = materialise(outer, "outer")
-    far = _near_cells(outer, ["cell", "cx", "cy", "cz", "ps"]).filter("not (cx = nx and cy = ny and cz = nz)")
-    other = outer.select(F.col("cell").alias("cell2"), F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("cz").alias("nz"), F.col("ps").alias("ps2"))
-    near = far.select("cell", "ps", "nx", "ny", "nz").join(other, ["nx", "ny", "nz"]).filter("cell < cell2")
-    close = F.exists(
-        "ps", lambda p: F.exists("ps2", lambda q: F.sqrt(F.pow(p["x"].cast("double") - q["x"].cast("double"), 2) + F.pow(p["y"].cast("double") - q["y"].cast("double"), 2) + F.pow(p["z"].cast("double") - q["z"].cast("double"), 2)) <= radius)
-    )
-    near = materialise(near.select("cell", "cell2", close.alias("linked")), "near")
-    links = near.filter("linked").select(F.col("cell").alias("a"), F.col("cell2").alias("b"))
+    outer = named.groupBy("root").agg(F.array_distinct(F.array(*[f(point, dot) for dot in dots for f in (F.min_by, F.max_by)])).alias("ps"))
+    outer = materialise(outer.select("root", "root.*", "ps"), "outer")
+    far = _near_cells(outer, ["root", *CELL, "ps"]).filter("not (cx = nx and cy = ny and cz = nz)")
+    other = outer.select(F.col("root").alias("root_b"), F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("cz").alias("nz"), F.col("ps").alias("ps2"))
+    near = far.select(F.col("root").alias("root_a"), "ps", "nx", "ny", "nz").join(other, ["nx", "ny", "nz"]).filter("root_a < root_b")
+    close = F.exists("ps", lambda p: F.exists("ps2", lambda q: _norm([p[x] - q[x] for x in AXES]) <= radius))
+    near = materialise(near.select("root_a", "root_b", close.alias("linked")), "near")
+    links = near.filter("linked").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
     comps = connected_components(links)
-    tag = lambda c: comps.select(F.col("id").alias(c), F.col("component").alias("k" + c))
+    tag = lambda c: comps.select(F.col("id").alias(c), F.col("component").alias("of_" + c))
     unsure = (
-        near.filter("not linked").join(tag("cell"), "cell", "left").join(tag("cell2"), "cell2", "left")
-        .filter("coalesce(kcell, cell) <> coalesce(kcell2, cell2)").select("cell", "cell2")
-    )
-    left = named.select("cell", *AXES).alias("p")
-    right = named.select(F.col("cell").alias("cell2"), *AXES).alias("q")
-    more = (
-        unsure.alias("u").join(left, F.col("u.cell") == F.col("p.cell")).join(right, F.col("u.cell2") == F.col("q.cell2"))
-        .filter(_within("p", "q", radius)).select(F.col("u.cell").alias("a"), F.col("u.cell2").alias("b")).distinct()
+        near.filter("not linked").join(tag("root_a"), "root_a", "left").join(tag("root_b"), "root_b", "left")
+        .filter("coalesce(of_root_a, root_a) <> coalesce(of_root_b, root_b)").select("root_a", "root_b")
     )
-    final = connected_components(links.unionByName(more))
-    joined = named.select("id", "cell").join(final.select(F.col("id").alias("cell"), "component"), "cell", "left")
-    cell_of = joined.select("id", F.coalesce("component", "cell").alias("k"))
+    more = near_parts(unsure, named, named, radius, each=False)
+    final = connected_components(links.unionByName(more.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))))
+    joined = named.select("id", "root").join(final.select(F.col("id").alias("root"), "component"), "root", "left")
+    cell_of = joined.select("id", F.coalesce("component", "root").alias("k"))
     least = cell_of.groupBy("k").agg(F.min("id").alias("component"))
     return cell_of.join(least, "k").select("id", "component")
 
@@ -170,14 +235,16 @@ def color_anchor_filter(
     low, high = {a: box[a][0] - pad[a] for a in AXES}, {a: box[a][1] + pad[a] for a in AXES}
     radius = diagonal * distance_ratio
     side = radius / math.sqrt(3.0) * (1 - 1e-12)
-    inside = materialise(points.filter(_box(low, high)).select("id", *AXES, *_cell(side)), "inside")
-    cores = core.select(*AXES, *_cell(side))
-    filled = cores.select(*CELL).distinct()
-    same = inside.join(filled, CELL, "left_semi").select("id")  # a core point in the same cell is near enough
-    open_points = inside.join(filled, CELL, "left_anti")
-    spread = _near_cells(open_points, ["id", "x", "y", "z", "cx", "cy", "cz"])
-    pairs = spread.alias("p").join(cores.alias("q"), [F.col(f"p.n{a}") == F.col(f"q.c{a}") for a in AXES]).filter(_within("p", "q", radius))
-    keep_ids = materialise(same.unionByName(pairs.select(F.col("p.id").alias("id"))).distinct().withColumn("__k", F.lit(True)), "keep")
+    inside = materialise(_placed(points.filter(_box(low, high)), side, ["id"]), "inside")
+    cores = materialise(_placed(core, side, []), "cores")
+    filled = cores.select("root").distinct()
+    same = inside.join(filled, "root", "left_semi").select("id")  # a core point in the same cell is near enough
+    open_points = materialise(inside.join(filled, "root", "left_anti"), "open")
+    around = _near_cells(open_points.select("root").distinct().select("root", "root.*"), ["root", *CELL])
+    around = around.select(F.col("root").alias("root_a"), F.struct(*[F.col(f"n{a}").alias(f"c{a}") for a in AXES]).alias("root_b"))
+    pairs = around.join(filled.withColumnRenamed("root", "root_b"), "root_b", "left_semi")
+    near = near_parts(pairs, open_points, cores, radius, each=True)
+    keep_ids = materialise(same.unionByName(near).distinct().withColumn("__k", F.lit(True)), "keep")
     kept = keep_ids.count()
     if kept < min_keep:
         return _all(points, "too_few_foreground_points", kept_points=kept)
