@@ -84,7 +84,7 @@ def _near_cells(df: DataFrame, keep: list[str]) -> DataFrame:
     return df
 
 
-FEW = 64  # point pairs of two cells that are compared one by one
+FEW = 1024  # point pairs of two cells that are compared one by one
 
 
 def _nested(level: int) -> list[Column]:
@@ -127,9 +127,8 @@ def near_parts(pairs: DataFrame, left: DataFrame, right: DataFrame, radius: floa
     only the others are halved again, down to FEW pairs of points.  So two full
     cells are decided by the parts along their border.
     """
-    pairs = materialise(pairs.select("root_a", "root_b").distinct(), "pairs")
     out, level = None, 0
-    frontier = pairs.select("root_a", "root_b", F.lit(None).cast("struct<kx:bigint,ky:bigint,kz:bigint>").alias("up_a"), F.lit(None).cast("struct<kx:bigint,ky:bigint,kz:bigint>").alias("up_b"))
+    frontier = pairs.distinct().select("root_a", "root_b", F.lit(None).cast("struct<kx:bigint,ky:bigint,kz:bigint>").alias("up_a"), F.lit(None).cast("struct<kx:bigint,ky:bigint,kz:bigint>").alias("up_b"))
     while True:
         sided = frontier
         for side, points in (("a", left), ("b", right)):
@@ -157,14 +156,14 @@ def near_parts(pairs: DataFrame, left: DataFrame, right: DataFrame, radius: floa
         last = rest.filter(small).join(points_of(left, "a"), ["root_a", "part_a"]).join(points_of(right, "b"), ["root_b", "part_b"])
         apart = _norm([F.col(f"p_a.{x}") - F.col(f"p_b.{x}") for x in AXES])
         found = found.unionByName(last.filter(apart <= radius).select(*(["id"] if each else ["root_a", "root_b"])).distinct())
+        if tested.filter(~F.col("within") & ~small).isEmpty():
+            return (found if out is None else out.unionByName(found)).distinct()
         found = materialise(found, "found")
         out = found if out is None else out.unionByName(found)
         rest = rest.filter(~small)
         if not each:
             rest = rest.join(found, ["root_a", "root_b"], "left_anti")
         frontier = materialise(rest.select("root_a", "root_b", F.col("part_a").alias("up_a"), F.col("part_b").alias("up_b")), "frontier")
-        if frontier.isEmpty():
-            return out.distinct()
         level += 1
 
 

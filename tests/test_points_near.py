@@ -71,4 +71,4 @@ def test_two_full_cells(spark, monkeypatch, gap):
     xyz = written(cell(1, 0.01).unionByName(cell(9, far + 0.01)), "points")
     parts = pt.radius_components(xyz, 1.0).select("component").distinct().count()
     assert parts == (1 if gap < 1 else 2)
-    assert sum(t.count() for name, t in rows if name.startswith("parts") or name == "frontier") < 500_000
+    assert sum(t.count() for name, t in rows if name.startswith("parts") or name == "frontier") < 200_000
