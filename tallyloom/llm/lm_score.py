@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, scratch
 from . import kernels as K
 from .registry import register, table
 
@@ -169,6 +169,7 @@ class Models:
     pairs: tuple[np.ndarray, np.ndarray]  # sorted keys of frequent bigrams, likewise
     unknown: list[float]  # terms of the unknown word
     start: list[float]  # terms of the start of a text
+    gone: DataFrame  # text, before, word, n: the trained texts' bigrams with a word out of the vocabulary
 
 
 def train(
@@ -184,8 +185,8 @@ def train(
     sums = known.agg(F.count(F.lit(1)).alias("size"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()
     frequent = np.sort(known.filter(F.col("n") >= often).select("word").toArrow()["word"].to_numpy().view(np.uint64))
 
-    gone = unknown_pairs(flagged, known, frequent).select("before", "word", "n", "n_target")
-    pairs = pair_counts(flagged).unionByName(gone).groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+    gone = unknown_pairs(flagged, known, frequent)
+    pairs = pair_counts(flagged).unionByName(gone.select("before", "word", "n", "n_target")).groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
     pairs = materialise(pairs.filter(F.col("n") >= limit), "bigrams")  # as they stand, only bigrams of known words are as frequent
 
     def less(column: str) -> Column:
@@ -229,7 +230,7 @@ def train(
         return keys[order], np.array([got[c].to_numpy()[order] for c in ("x_target", "x", "y_target", "y")]).reshape(4, -1)
 
     special = {r.word: [r.x_target, r.x, r.y_target, r.y] for r in words.filter(F.col("word").isin(UNKNOWN, START)).collect()}
-    return Models(terms, known.select("word"), frequent, arrays(terms, True), arrays(terms, False), special[UNKNOWN], special[START])
+    return Models(terms, known.select("word"), frequent, arrays(terms, True), arrays(terms, False), special[UNKNOWN], special[START], gone.select("text", "before", "word", "n"))
 
 
 def text_rows(docs: DataFrame, models: Models) -> DataFrame:
@@ -275,15 +276,17 @@ def text_rows(docs: DataFrame, models: Models) -> DataFrame:
     return docs.select("text", F.xxhash64("text")).mapInArrow(rows, "text long, before long, word long, kind long, x double, y double")
 
 
-def scored(docs: DataFrame, doc_id: str, text: str, models: Models) -> DataFrame:
+def scored(docs: DataFrame, doc_id: str, text: str, models: Models, gone: DataFrame | None = None) -> DataFrame:
     """``(doc_id, n_words, target_loss, background_loss, difference)``, one row per row of ``docs``.
 
     Losses are means per word in nats.  A null or empty text has 0 words and null
     losses; equal texts have equal losses; other columns are ignored; an empty
-    table gives no rows.
+    table gives no rows.  ``gone`` is the models' own where they were trained on
+    these rows.
     """
     texts = docs.select(F.col(text).alias("text"))
-    gone = unknown_pairs(texts.withColumn("target", F.lit(False)), models.known, models.frequent)
+    if gone is None:
+        gone = unknown_pairs(texts.withColumn("target", F.lit(False)), models.known, models.frequent)
     gone = gone.select("text", "before", "word", F.lit(PAIR).cast("bigint").alias("kind"), F.col("n").cast("double").alias("x"), F.lit(0.0).alias("y"))
     kind, key = F.col("kind"), F.xxhash64("before", "word")
     rows = text_rows(texts, models).unionByName(gone)
@@ -321,4 +324,6 @@ def op2_lm_difference(spark, sf_dir: str) -> DataFrame:
     """Documents against a model of those labelled as good."""
     docs = table(spark, sf_dir, "documents")
     good = table(spark, sf_dir, "labels").filter("quality = 1")
-    return scored(docs, "doc_id", "text", train(docs.select("text"), flagged(docs, "doc_id", "text", good, "doc_id")))
+    with scratch(spark) as keep:
+        models = train(docs.select("text"), flagged(docs, "doc_id", "text", good, "doc_id"))
+        return keep(scored(docs, "doc_id", "text", models, models.gone), "scores")
