@@ -17,6 +17,8 @@ from ..functions.minhash import agreement
 from ..session import materialise
 from .components import connected_components
 
+SMALL = 16  # members of a bucket that are compared without another cut
+
 
 def _bands(reps: DataFrame, bands: int, m: int) -> DataFrame:
     width = m // bands
@@ -24,11 +26,55 @@ def _bands(reps: DataFrame, bands: int, m: int) -> DataFrame:
     return reps.select("id", F.posexplode(keys).alias("band", "bk"))
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, need: int) -> DataFrame:
-    """Keep ``(a, b)`` pairs whose signatures agree in ``need`` places."""
+def _scored(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """``(a, b, same)``: in how many places the signatures of each pair agree."""
     left = reps.select(F.col("id").alias("a"), F.col("sig").alias("sa"))
     right = reps.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").filter(agreement(F.col("sa"), F.col("sb")) >= need).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", agreement(F.col("sa"), F.col("sb")).alias("same"))
+
+
+def _around_hubs(members: DataFrame, reps: DataFrame, bucket: list[str], m: int, need: int) -> tuple[DataFrame, DataFrame]:
+    """Links of the ``(bucket.., id)`` rows with each bucket's least id, and the rows of the buckets that these leave open.
+
+    Two members that both agree with the hub are connected already.  A bucket is
+    open while a member does not agree; its rows come with ``core`` (agrees, or
+    is the hub) and ``far``, the number of places in which a row differs from the
+    hub.
+    """
+    hubs = members.groupBy(*bucket).agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    placed = materialise(members.join(hubs, bucket), "members")
+    spokes = placed.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    spokes = materialise(_scored(spokes, reps), "spokes")
+    far = spokes.select(F.col("a").alias("id"), F.col("b").alias("hub"), (F.lit(m) - F.col("same")).alias("__far"))
+    marked = placed.join(far, ["id", "hub"], "left").select(*bucket, "id", "n", F.coalesce("__far", F.lit(0)).alias("far"))
+    marked = marked.withColumn("core", F.col("far") <= m - need)
+    open_buckets = marked.groupBy(*bucket).agg(F.bool_and("core").alias("__all")).filter("not __all").select(*bucket)
+    return spokes.filter(F.col("same") >= need).select("a", "b"), materialise(marked.join(open_buckets, bucket, "left_semi"), "open")
+
+
+def _cut_anew(open_rows: DataFrame, reps: DataFrame, bucket: list[str], m: int, need: int) -> DataFrame:
+    """Members of each open bucket dealt into new buckets that lose no agreeing pair.
+
+    Signatures that agree differ in at most D = m - need places, so of D + 1
+    parts of the places at least one agrees whole, however the places are dealt.
+    Here each bucket deals its own: places are ranked by how often two members
+    agree there and dealt in turn, so every part gets its share of the places in
+    which the bucket's members differ most, and members that only share a
+    template part.
+    """
+    parts = m - need + 1
+    held = open_rows.select(*bucket, "id").join(reps.select("id", "sig"), "id")
+    values = held.select(*bucket, F.posexplode("sig").alias("place", "value")).groupBy(*bucket, "place", "value").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    likely = values.groupBy(*bucket, "place").agg(F.sum(F.col("c") * F.col("c")).alias("s"))
+    order = F.transform(F.array_sort(F.collect_list(F.struct("s", "place"))), lambda x: x["place"])  # m places
+    dealt = likely.groupBy(*bucket).agg(order.alias("order"))
+
+    def key(part: int):
+        own = F.filter("order", lambda _, i: i % parts == part)
+        return F.xxhash64(F.lit(part), *[F.col(c) for c in bucket], F.transform(own, lambda p: F.get("sig", p)))
+
+    keys = held.join(dealt, bucket).select("id", F.explode(F.array(*[key(p) for p in range(parts)])).alias("bk"))
+    return keys.distinct()
 
 
 def near_duplicate_links(signatures: DataFrame, id_col: str, threshold: float = 0.95, m: int = 128, bands: int = 8) -> DataFrame:
@@ -37,8 +83,11 @@ def near_duplicate_links(signatures: DataFrame, id_col: str, threshold: float =
     Equal signatures hang on their least id.  In each band bucket the members are
     compared with the bucket's least id; two members that both agree with it are
     connected already and need no comparison, so a large group of copies costs
-    one comparison per member.  The members that do not agree with it are
-    compared with those that also share a second band.
+    one comparison per member.  What is left of large buckets, pages of one
+    template say, is dealt anew by the places in which its members differ, see
+    ``_cut_anew``; what is left of small ones, and of those dealt anew, is
+    compared pair by pair, but for pairs whose distances to the hub differ by more
+    than a link allows.  Band hashes only choose candidates.
     """
     need = math.ceil(threshold * m - 1e-9)
     if m - need > bands - 2:
@@ -49,28 +98,25 @@ def near_duplicate_links(signatures: DataFrame, id_col: str, threshold: float =
     copies = copies.select(F.col("id").alias("a"), F.col("rep").alias("b"))
     reps = materialise(signed.join(groups.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "sig"), "reps")
 
-    banded = _bands(reps, bands, m)
-    buckets = banded.groupBy("bk").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = materialise(banded.join(buckets.select("bk", "hub"), "bk"), "members")
-    spokes = members.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    star = materialise(_verified(spokes, reps, need), "star")
-
-    settled = star.select(F.col("a").alias("id"), F.col("b").alias("hub"), F.lit(True).alias("core"))
-    placed = members.join(settled, ["id", "hub"], "left").select(
-        "id", "band", "bk", (F.coalesce("core", F.lit(False)) | (F.col("id") == F.col("hub"))).alias("core")
-    )
-    placed = materialise(placed, "placed")
-    # all members of the buckets that hold an unsettled one
-    open_buckets = placed.filter("not core").select("bk").distinct()
-    first = placed.join(open_buckets, "bk", "left_semi")
-    second = placed.select("id", F.col("band").alias("band2"), F.col("bk").alias("bk2"))
-    keyed = first.join(second, "id").filter("band <> band2").select("id", "core", "bk", "bk2")
-    rest = keyed.filter("not core").select(F.col("id").alias("x"), "bk", "bk2")
-    others = keyed.select(F.col("id").alias("y"), F.col("core").alias("yc"), "bk", "bk2")
-    # two unsettled members meet once, from the larger id
-    met = rest.join(others, ["bk", "bk2"]).filter("x <> y and (yc or x > y)")
+    links, rows = _around_hubs(_bands(reps, bands, m).select("bk", "id"), reps, ["bk"], m, need)
+    out = copies.unionByName(links)
+    large = rows.filter(F.col("n") > SMALL)
+    if not large.isEmpty():
+        # a pair that agrees shares a first bucket, and there one of the new ones
+        links, left = _around_hubs(_cut_anew(large, reps, ["bk"], m, need), reps, ["bk"], m, need)
+        out = out.unionByName(links)
+        rows = rows.filter(F.col("n") <= SMALL).unionByName(left)
+    return out.unionByName(_rest(rows, reps, m, need)).distinct()
+
+
+def _rest(rows: DataFrame, reps: DataFrame, m: int, need: int) -> DataFrame:
+    """Links of the members that do not agree with their bucket's hub with the bucket's others."""
+    one = rows.filter("not core").select("bk", F.col("id").alias("x"), F.col("far").alias("fx"))
+    two = rows.select("bk", F.col("id").alias("y"), F.col("core").alias("yc"), F.col("far").alias("fy"))
+    # two open members meet once, from the larger id; a link's ends are at like distances from the hub
+    met = one.join(two, "bk").filter((F.col("x") != F.col("y")) & (F.col("yc") | (F.col("x") > F.col("y"))) & (F.abs(F.col("fx") - F.col("fy")) <= m - need))
     pairs = met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    return copies.unionByName(star).unionByName(_verified(pairs, reps, need)).distinct()
+    return _scored(pairs, reps).filter(F.col("same") >= need).select("a", "b")
 
 
 def near_duplicate_groups(links: DataFrame) -> DataFrame:

@@ -67,6 +67,26 @@ def test_hot_group_of_copies_gives_one_link_each(spark):
     assert nd.near_duplicate_links(df, "doc_id").count() == 999
 
 
+def test_template_pages_give_linear_pairs(spark, monkeypatch):
+    """Pages that share half their places, so four whole bands, and differ in the others; some have a near copy."""
+    rng = np.random.default_rng(4)
+    template = rng.integers(0, 10**6, 128)
+    sigs = rng.integers(0, 10**6, (2000, 128))
+    sigs[:, :64] = template[:64]
+    for i in range(100):  # near copies of earlier pages: 5 to 7 places differ, anywhere
+        sigs[1900 + i] = sigs[i * 3]
+        sigs[1900 + i, rng.choice(128, 5 + i % 3, replace=False)] += 1
+    met = []
+    scored = nd._scored
+    monkeypatch.setattr(nd, "_scored", lambda pairs, reps: met.append(pairs) or scored(pairs, reps))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(sigs)], "doc_id bigint, sig array<int>")
+    got = {(r.a, r.b) for r in nd.near_duplicate_links(df, "doc_id").collect()}
+    same = sum((sigs[:, None, k] == sigs[None, :, k]).astype(np.uint8) for k in range(128))
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(same >= 122)) if a > b}
+    assert got == want and len(want) > 60
+    assert sum(p.count() for p in met) < 5 * len(sigs)
+
+
 def test_contaminated(spark):
     base = list(range(128))
     near = [*base[:-6], *[900 + i for i in range(6)]]
