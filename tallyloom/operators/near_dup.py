@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.minhash import agreement
@@ -171,13 +171,25 @@ def contaminated(train: DataFrame, bench: DataFrame, threshold: float = 0.95, m:
 def shared_shingles(train: DataFrame, bench: DataFrame, share: float) -> DataFrame:
     """Documents that hold at least ``share`` of a benchmark item's distinct shingles.
 
-    ``(id, shingle)`` tables of distinct rows.  Catches a short passage inside a
-    long document, where whole-text signatures cannot agree.
+    ``(id, shingle)`` tables of distinct rows; pairs without a common shingle are
+    left out.  Catches a short passage inside a long document, where whole-text
+    signatures cannot agree.
+
+    Shingles that the same items hold count as one: a document has one number per
+    set of items, however many shingles and items that is.  An item is a
+    candidate for a document only by one of its rarest shingles, as many as it
+    can lack and one more, so a shingle that all items hold makes no pairs.
     """
-    sizes = bench.groupBy("id").agg(F.count(F.lit(1)).alias("size")).withColumnRenamed("id", "bench_id")
-    met = train.join(bench.select(F.col("id").alias("bench_id"), "shingle"), "shingle")
-    counted = met.groupBy("id", "bench_id").agg(F.count(F.lit(1)).alias("common"))
-    return counted.join(sizes, "bench_id").filter(F.col("common") >= F.col("size") * share).select(
+    sizes = bench.groupBy("id").agg(F.count(F.lit(1)).alias("size")).withColumn("need", F.greatest(F.ceil(F.col("size") * share), F.lit(1)))
+    held = F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("x"))
+    posted = materialise(bench.join(bench.groupBy("shingle").agg(held.alias("items")), "shingle"), "posted")
+    rarest = Window.partitionBy("id").orderBy("items.n", "shingle")
+    first = posted.withColumn("nth", F.row_number().over(rarest)).join(sizes, "id").filter(F.col("nth") <= F.col("size") - F.col("need") + 1)
+    met = materialise(train.join(posted.select("shingle", "items").distinct(), "shingle").groupBy("id", "items").agg(F.count(F.lit(1)).alias("c")), "met")
+    pairs = train.join(first.select("shingle", F.col("id").alias("bench_id")), "shingle").select("id", "bench_id").distinct()
+    of_item = posted.select(F.col("id").alias("bench_id"), "items").distinct()
+    counted = pairs.join(of_item, "bench_id").join(met, ["id", "items"]).groupBy("id", "bench_id").agg(F.sum("c").alias("common"))
+    return counted.join(sizes.withColumnRenamed("id", "bench_id"), "bench_id").filter(F.col("common") >= F.col("need")).select(
         F.col("id").alias("train_id"), "bench_id", "common", "size"
     )
 

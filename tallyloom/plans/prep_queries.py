@@ -301,6 +301,17 @@ def prep_19(spark, d):
     return nd.decontaminate(table(spark, d, "documents").select("doc_id"), "doc_id", hits)
 
 
+@register("prep_19_contaminated_signatures", f"""WITH {_sig_sql('sg', 'documents', 'doc_id')},
+arr AS MATERIALIZED (SELECT doc_id, list(v ORDER BY i) AS sig FROM sg GROUP BY 1),
+pr AS MATERIALIZED (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM sg a JOIN sg b ON a.i = b.i AND a.v = b.v AND a.i < 7 WHERE b.doc_id IN (SELECT doc_id FROM labels))
+SELECT DISTINCT x AS doc_id FROM pr JOIN arr p ON p.doc_id = x JOIN arr q ON q.doc_id = y WHERE len(list_filter(list_zip(p.sig, q.sig), lambda z: z[1] = z[2])) >= 122""")
+def prep_19b(spark, d):
+    """Documents whose signature agrees with that of a labelled one, itself included."""
+    sigs = doc_sigs(spark, d).select(F.col("doc_id").alias("id"), "sig")
+    labelled = sigs.join(table(spark, d, "labels").select(F.col("doc_id").alias("id")), "id", "left_semi")
+    return nd.contaminated(sigs, labelled).select(F.col("train_id").alias("doc_id"))
+
+
 @register("prep_20_reusable_stats", f"WITH {DT} SELECT doc_id, nt FROM dt")
 def prep_20(spark, d):
     """Statistics stored in two runs; the second only computes what is missing."""

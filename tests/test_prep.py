@@ -96,6 +96,31 @@ def test_contaminated(spark):
     assert {r[0] for r in nd.contaminated(t, b).collect()} == {1, 2, 4}
 
 
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.5, 1.0])
+def test_shared_shingles_equal_brute_force(spark, share):
+    r = random.Random(2)
+    items = {i: {f"s{r.randrange(40)}" for _ in range(r.randrange(1, 12))} | ({"hot"} if i % 3 else set()) for i in range(30)}
+    items |= {100 + i: items[i] for i in range(5)}  # equal items
+    docs = {i: {f"s{r.randrange(60)}" for _ in range(r.randrange(0, 40))} | {"hot"} for i in range(40)}
+    table = lambda sets: spark.createDataFrame([(k, x) for k, v in sets.items() for x in v], "id bigint, shingle string")
+    got = {tuple(x) for x in nd.shared_shingles(table(docs), table(items), share).collect()}
+    want = {(d, i, len(a & b), len(b)) for d, a in docs.items() for i, b in items.items() if a & b and len(a & b) >= share * len(b)}
+    assert got == want and want
+
+
+def test_hot_shingle_makes_no_pairs(spark, monkeypatch):
+    """A shingle of all 300 items and 10,000 documents: rows in proportion to documents."""
+    rows = []
+    written = nd.materialise
+    monkeypatch.setattr(nd, "materialise", lambda df, name, by=(): rows.append(written(df, name, by)) or rows[-1])
+    n = F.col("id")
+    items = spark.range(300).select("id", F.explode(F.array(F.lit("hot"), *[F.concat(F.lit(f"i{k}-"), n) for k in range(9)])).alias("shingle"))
+    docs = spark.range(10_000).select("id", F.explode(F.array(F.lit("hot"), F.concat(F.lit("d"), n), F.concat(F.lit("i0-"), n))).alias("shingle"))
+    hits = nd.shared_shingles(docs, items, 0.2)
+    assert hits.count() == 300 and {r.train_id == r.bench_id for r in hits.collect()} == {True}
+    assert sum(t.count() for t in rows) < 3 * 10_000
+
+
 def test_components_long_path(spark):
     n = 400
     links = [(i, i + 1) for i in range(n - 1)] + [(1000, 1001), (1001, 1000)]
