@@ -7,6 +7,9 @@ the element that holds the high cluster is the content region: an article or mai
 element if it holds nearly all of it, the parent of several articles that do so
 together, or else the innermost container.  Of that region
 every line is kept that is not in a menu, advert, form or other side matter.
+
+An element's name is a sign of side matter where it consists of such signs alone;
+where only a part of it is one, the line's cluster decides.
 """
 
 from __future__ import annotations
@@ -40,6 +43,13 @@ HINTS = frozenset(
     "navigation breadcrumb breadcrumbs pagination pager footer comment comments disqus respond reply replies share sharing social "
     "related recommended recommendations widget toolbar login signup search responses feedback announcement toast".split()
 )
+REMARKS = frozenset("comment comments commentary disqus respond reply replies responses remark remarks".split())  # reader comments, also as articles
+#: Parts of a name that say nothing about the role; a name of such parts and hints alone is a hint.
+PLAIN = frozenset(
+    "a b area bar block body bottom box btn button buttons c col column container content div el element fixed footer form frame global group header "
+    "holder i icon icons id in inner item items js l left link links list lists m main module nav new old outer page panel post r right row s section "
+    "site slot small large text thread title top unit view wrap wrapper x xl".split()
+)
 PAGE_HINTS = frozenset("header masthead topbar".split())  # outside an article only
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
@@ -49,16 +59,18 @@ LINKS = 0.5  # share of link text from which a line is a menu, where no element
 
 
 class Lines(HTMLParser):
-    """Collects ``(text, tags, link_chars, side, region)`` per line; ``region`` is the number of the innermost open block."""
+    """Collects ``(text, tags, link_chars, side, region, doubtful)`` per line; ``region`` is the number of the innermost open block."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, int]] = []
+        self.lines: list[tuple[str, int, int, bool, int, bool]] = []
         self.parent = [-1]  # of each block
         self.name = [""]
-        self.stack: list[tuple[str, int, bool, bool, int]] = []  # tag, block, side, in an article, the open p outside
+        # tag, and what holds outside: block, side, in an article, the open p, in remarks, doubtful
+        self.stack: list[tuple[str, int, bool, bool, int, bool, bool]] = []
         self.open: dict[str, int] = {}
-        self.block, self.side, self.inner, self.p_at = 0, False, False, -1
+        self.block, self.side, self.inner, self.p_at, self.remarks, self.doubtful = 0, False, False, -1, False, False
+        self.articles = 0
         self.parts: list[str] = []
         self.tags = self.linked = 0
 
@@ -68,16 +80,16 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text or self.tags:
-            self.lines.append((text, self.tags, self.linked, self.side, self.block))
+            self.lines.append((text, self.tags, self.linked, self.side, self.block, self.doubtful))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def pop_to(self, at: int) -> None:
         """Close the element at place ``at`` of the stack and all inside it."""
-        if any(e[0] in BLOCK or e[0] in SIDE or e[2] != self.side for e in self.stack[at:]):
+        if any(e[0] in BLOCK or e[0] in SIDE or e[2] != self.side or e[6] != self.doubtful for e in self.stack[at:]):
             self.flush()
         for tag, *_ in self.stack[at:]:
             self.open[tag] -= 1
-        tag, self.block, self.side, self.inner, self.p_at = self.stack[at]
+        tag, self.block, self.side, self.inner, self.p_at, self.remarks, self.doubtful = self.stack[at]
         del self.stack[at:]
 
     def find(self, tags: set[str], stop: frozenset[str] | set[str]) -> int:
@@ -103,33 +115,49 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         at = len(self.stack)
-        self.stack.append((tag, self.block, self.side, self.inner, self.p_at))
+        self.stack.append((tag, self.block, self.side, self.inner, self.p_at, self.remarks, self.doubtful))
         self.open[tag] = self.open.get(tag, 0) + 1
         if tag == "p":
             self.p_at = at
         elif tag in SCOPE:
             self.p_at = -1
-        side = tag in SIDE or (bool(attrs) or tag == "header") and tag not in ("html", "body") and self.hinted(tag, dict(attrs))
-        if tag in ROOT:  # an article ends what was left open before it
-            side, self.side, self.inner = False, False, True
+        side, doubtful, remarks = tag in SIDE, False, False
+        if (attrs or tag == "header") and tag not in ("html", "body"):
+            hinted, doubtful, remarks = self.hinted(tag, dict(attrs))
+            side |= hinted
+        if tag in ROOT:
+            side, doubtful = remarks, False
+            # the first article ends what was left open before it; later ones may stand in side matter
+            if not self.remarks and (tag == "main" or not self.articles):
+                self.side = self.doubtful = False
+            self.inner = True
+            self.articles += tag == "article" and not remarks
         if tag in BLOCK:
             self.parent.append(self.block)
             self.name.append(tag)
             self.block = len(self.parent) - 1
-        elif side and not self.side:
+        elif side and not self.side or doubtful and not self.doubtful:
             self.flush()
         self.side |= side
-
-    def hinted(self, tag: str, attrs: dict[str, str | None]) -> bool:
+        self.doubtful |= doubtful
+        self.remarks |= remarks
+
+    def hinted(self, tag: str, attrs: dict[str, str | None]) -> tuple[bool, bool, bool]:
+        """Whether the attributes mark side matter, may mark it, and mark reader comments."""
+        names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split()
+        parts = [[p for p in re.split(r"[^a-z]+", n) if p] for n in names]
+        sure = [set(p) for p in parts if p and all(x in HINTS or x in PLAIN for x in p)]
+        remarks = any(p & REMARKS for p in sure)
         if tag in ROOT:
-            return False
-        names = set(re.split(r"[^a-z0-9]+", f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()))
+            return remarks, False, remarks
+        every = {x for p in parts for x in p}
         style = (attrs.get("style") or "").replace(" ", "").lower()
-        outer = not self.inner and (tag == "header" or names & PAGE_HINTS)
-        return bool(
-            outer or names & HINTS or (attrs.get("role") or "").lower() in ROLES or "hidden" in attrs
+        outer = not self.inner and (tag == "header" or every & PAGE_HINTS)
+        side = bool(
+            outer or any(p & HINTS for p in sure) or (attrs.get("role") or "").lower() in ROLES or "hidden" in attrs
             or attrs.get("aria-hidden") == "true" or "display:none" in style
         )
+        return side, bool(every & HINTS) and not side, remarks
 
     def handle_endtag(self, tag: str) -> None:
         if not self.open.get(tag):
@@ -180,13 +208,14 @@ def main_text(html: str, sigma: float = SIGMA, share: float = SHARE) -> str:
     parser.close()
     parser.flush()
     lines = parser.lines
-    if not any(text and not side for text, _, _, side, _ in lines):
+    if not any(text and not side for text, _, _, side, *_ in lines):
         return ""
-    own = np.array([0 if side else max(0, len(text) - linked) for text, _, linked, side, _ in lines], float)
-    ratio = smoothed(np.log1p(own / np.array([max(1, tags) for _, tags, _, _, _ in lines])), sigma)
-    high = (ratio > two_clusters(ratio)) & (own > 0)
+    own = np.array([0 if side else max(0, len(text) - linked) for text, _, linked, side, *_ in lines], float)
+    ratio = smoothed(np.log1p(own / np.array([max(1, tags) for _, tags, *_ in lines])), sigma)
+    content = ratio > two_clusters(ratio)
+    high = content & (own > 0)
     if not high.any():
-        high = own > 0 if own.any() else np.array([bool(text) and not side for text, _, _, side, _ in lines])
+        high = own > 0 if own.any() else np.array([bool(text) and not side for text, _, _, side, *_ in lines])
         own = np.array([len(text) for text, *_ in lines], float)
 
     weight = np.zeros(len(parser.parent))
@@ -214,9 +243,11 @@ def main_text(html: str, sigma: float = SIGMA, share: float = SHARE) -> str:
     inside[region] = True
     for b in range(region + 1, len(weight)):
         inside[b] = inside[parser.parent[b]]
-    kept = [i for i, (text, _, _, side, block) in enumerate(lines) if text and not side and inside[block]]
-    if not exact:
-        kept = [i for i in kept if lines[i][2] < LINKS * len(lines[i][0])]
+    linked = np.array([line[2] >= LINKS * max(1, len(line[0])) for line in lines])
+    kept = [i for i, (text, _, _, side, block, doubtful) in enumerate(lines) if text and not side and inside[block] and (content[i] or not doubtful)]
+    if not exact:  # several lines of links are a menu, a single one is a reference
+        menu = {i for a, b in zip(kept[:-1], kept[1:], strict=True) if linked[a] and linked[b] for i in (a, b)}
+        kept = [i for i in kept if i not in menu]
     return "\n\n".join(lines[i][0] for i in kept)
 
 
