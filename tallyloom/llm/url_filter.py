@@ -2,14 +2,16 @@
 
 1. A url's path is cut into segments.  Level by level a segment becomes a branch
    of the tree node above it: numbers, dates, hashes, long mixed codes and file
-   numbers are a wildcard at once; at a node with many different segments the
-   rare ones are a wildcard too.
+   numbers are a wildcard at once.  A url that is alone at its node is a template
+   of its own, whose rest is one wildcard; so the tree is as deep as the urls
+   share their paths.
 2. Sibling branches whose labelled share of bad urls does not differ from their
    node's (Wilson interval) merge into one wildcard; those clearly better or
    worse stay apart as merged branches of their kind.
    Branches without labels merge among themselves.
-3. A template's purity is its labelled share of good urls, smoothed towards a
-   prior; templates below the limit are rejected.
+3. A template's purity is its labelled share of good urls, smoothed towards that
+   of the node above it, and so on up to the host, its parent domains and the
+   whole table; templates below the limit are rejected.
 """
 
 from __future__ import annotations
@@ -29,13 +31,11 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-DEPTH = 4  # levels of the tree; what is deeper is one wildcard at the end
-FAN_OUT = 32  # a node with more different segments generalises the rare ones
-RARE = 0.02  # share of a node's urls below which a segment is rare
-PRIOR = 0.8  # purity of a template without labels
-SMOOTHING = 4.0  # labelled urls that the prior counts as
+PRIOR = 0.8  # purity of a host without labels
+SMOOTHING = 4.0  # labelled urls that the purity above counts as
 PURITY = 0.5  # templates below are rejected
 Z = 1.96
+SLACK = 1e-9  # by which an interval's end must differ: rounding alone is no difference
 
 NUMBER = r"^(\d+([._-]\w+)*|[0-9a-fA-F-]{8,})(\.[A-Za-z]{1,5})?$"
 CODE = r"^[\w-]{10,}(\.[A-Za-z]{1,5})?$"  # with letters and digits
@@ -61,45 +61,51 @@ def rule_match(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]
     return fits if fits is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def path_templates(urls: DataFrame, depth: int = DEPTH, fan_out: int = FAN_OUT, rare: float = RARE, z: float = Z) -> DataFrame:
-    """``(host, path, n, good, bad, template)`` of distinct ``(host, path, n, good, bad)`` rows."""
+def path_templates(urls: DataFrame, z: float = Z) -> DataFrame:
+    """``(host, path, good, bad, template)`` of distinct ``(host, path, good, bad)`` rows; a level of the tree a pass."""
     parts = F.split(F.regexp_replace("path", "^/", ""), "/")
-    deeper = F.size(parts) > depth
-    pieces = [F.when(F.size(parts) > i, F.get(parts, F.lit(i))) for i in range(depth)]
-    clean = [F.when(p.rlike(NUMBER) | p.rlike(CODE) & p.rlike("[0-9]") & p.rlike("[A-Za-z]"), F.lit("*")).otherwise(p) for p in pieces]
-    at = urls.select("*", F.lit("").alias("node"), *[c.alias(f"s{i}") for i, c in enumerate(clean)], deeper.alias("deeper"))
-    for i in range(depth):
-        seg = f"s{i}"
-        sums = [F.sum(c).alias(c) for c in ("n", "good", "bad")]
-        branches = at.filter(F.col(seg).isNotNull()).groupBy("host", "node", seg).agg(*sums)
-        nodes = branches.groupBy("host", "node").agg(
-            F.sum("n").alias("all_n"), F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"), F.count(F.lit(1)).alias("fan")
-        )
+    at = urls.select("host", "path", "good", "bad", F.lit("").alias("node"))
+    out, i = None, 0
+    while True:
+        p = F.get(parts, F.lit(i))
+        clean = F.when(p.rlike(NUMBER) | p.rlike(CODE) & p.rlike("[0-9]") & p.rlike("[A-Za-z]"), F.lit("*")).otherwise(p)
+        at = at.withColumn("seg", clean)
+        branches = at.groupBy("host", "node", "seg").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("urls"))
+        nodes = branches.groupBy("host", "node").agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"), F.sum("urls").alias("all_urls"), F.count(F.lit(1)).alias("fan"))
         known = branches.join(nodes, ["host", "node"])
-        few = (F.col("fan") > fan_out) & (F.col("n") < rare * F.col("all_n"))
         labelled, p = F.col("good") + F.col("bad"), F.col("bad") / (F.col("good") + F.col("bad"))
         middle = (p + z * z / (2 * labelled)) / (1 + z * z / labelled)
         half = z * F.sqrt(p * (1 - p) / labelled + z * z / (4 * labelled * labelled)) / (1 + z * z / labelled)
         whole = F.col("all_bad") / (F.col("all_good") + F.col("all_bad"))
-        worse = (labelled > 0) & (middle - half > whole)
-        better = (labelled > 0) & (middle + half < whole)
-        kind = F.when(few | (labelled == 0), "*").when(worse, "*bad").when(better, "*good").when(F.col("fan") > 1, "*like").otherwise(F.col(seg))
-        named = known.select("host", "node", seg, kind.alias("branch"))
-        old = at.columns
-        at = at.join(named, ["host", "node", seg], "left").withColumn(
-            "node", F.when(F.col("branch").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), F.col("branch")))
-        )
-        at = materialise(at.select(*old), "paths") if i < depth - 1 else at.select(*old)
-    end = F.when(F.col("deeper"), F.lit("/**")).otherwise("")
-    return at.select("host", "path", "n", "good", "bad", F.concat("node", end).alias("template"))
+        kind = F.when(F.col("all_urls") == 1, "**").when(labelled == 0, "*").when(middle - half > whole + SLACK, "*bad").when(middle + half < whole - SLACK, "*good")
+        kind = kind.when(F.col("fan") > 1, "*like").otherwise(F.col("seg"))
+        named = known.select("host", "node", "seg", kind.alias("branch"))
+        at = at.join(named, ["host", "node", "seg"]).withColumn("node", F.concat("node", F.lit("/"), "branch"))
+        done = (F.col("branch") == "**") | (F.size(parts) <= i + 1)
+        at = materialise(at.select("host", "path", "good", "bad", "node", done.alias("done")), "paths")
+        ended = at.filter("done").select("host", "path", "good", "bad", F.col("node").alias("template"))
+        out = ended if out is None else out.unionByName(ended)
+        at = at.filter("not done").drop("done")
+        if at.isEmpty():
+            return out
+        i += 1
 
 
 def judged(templates: DataFrame, prior: float = PRIOR, smoothing: float = SMOOTHING, purity: float = PURITY) -> DataFrame:
-    """``(host, path, template, purity, method)``."""
-    per = templates.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    share = (F.col("good") + smoothing * prior) / (F.col("good") + F.col("bad") + smoothing)
-    per = per.select("host", "template", share.alias("purity"), F.when(share < purity, "block").otherwise("allow").alias("method"))
-    return templates.select("host", "path", "template").join(per, ["host", "template"])
+    """``(host, template, purity, method)`` of the distinct templates.
+
+    Counts are added up for every host and node; a template's purity starts from
+    the prior and is smoothed down that chain.
+    """
+    per = materialise(templates.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "per_template")
+    nodes = F.split("template", "/")  # the first, empty one is the host itself
+    above = F.transform(F.sequence(F.lit(1), F.size(nodes)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(nodes, 1, k), "/").alias("node")))
+    chains = per.select("host", "template", "good", "bad", F.explode(above).alias("at")).select("host", "template", "good", "bad", "at.*")
+    sums = chains.groupBy("host", "node").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
+    chain = F.array_sort(F.collect_list(F.struct("depth", "g", "b")))  # one entry per level
+    share = F.aggregate(chain, F.lit(prior), lambda p, x: (x["g"] + smoothing * p) / (x["g"] + x["b"] + smoothing))
+    per = chains.select("host", "template", "depth", "node").join(sums, ["host", "node"]).groupBy("host", "template").agg(share.alias("purity"))
+    return per.withColumn("method", F.when(F.col("purity") < purity, "block").otherwise("allow"))
 
 
 def filter_urls(
@@ -119,17 +125,19 @@ def filter_urls(
     read = materialise(read.withColumn("hit", rule_match(F.col("host"), F.col("path"), rules)), "urls")
     fine = F.coalesce(F.col("hit.verdict") == "allow", F.col("label"))
     urls = read.groupBy("host", "path").agg(
-        F.count(F.lit(1)).alias("n"),
         F.count(F.when(fine, 1)).alias("good"),
         F.count(F.when(~fine, 1)).alias("bad"),
     )
-    verdicts = judged(materialise(path_templates(materialise(urls, "distinct")), "templates"), purity=purity)
-    out = read.join(verdicts, ["host", "path"])
+    templates = path_templates(materialise(urls, "distinct"))
+    out = read.join(templates.select("host", "path", "template"), ["host", "path"]).join(judged(templates, purity=purity), ["host", "template"])
     return out.select(
         "page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", "method").alias("verdict"), "template", "purity"
     )
 
 
+SQL_LEVELS = 8  # the SQL has no loop; the given urls share fewer levels
+
+
 def _sql() -> str:
     """The same steps as SQL."""
     lit = lambda x: "'" + x.replace("'", "''") + "'"
@@ -142,28 +150,34 @@ def _sql() -> str:
         f"CASE WHEN regexp_matches({e}, {lit(NUMBER)}) OR regexp_matches({e}, {lit(CODE)}) AND regexp_matches({e}, '[0-9]') AND regexp_matches({e}, '[A-Za-z]') THEN '*' ELSE {e} END"
     )
     levels = ""
-    for i in range(DEPTH):
-        rest = "".join(f", s{j}" for j in range(DEPTH))
-        levels += f""", b{i} AS (SELECT host, node, s{i}, sum(n) n, sum(good) good, sum(bad) bad FROM t{i} WHERE s{i} IS NOT NULL GROUP BY ALL
-), o{i} AS (SELECT host, node, sum(n) an, sum(good) ag, sum(bad) ab, count(*) fan FROM b{i} GROUP BY ALL
-), k{i} AS (SELECT b.*, an, fan, (good + bad)::DOUBLE l, CASE WHEN good + bad > 0 THEN bad / (good + bad)::DOUBLE END p,
+    for i in range(SQL_LEVELS):
+        levels += f""", a{i} AS (SELECT *, {clean('(' + piece(i) + ')')} AS seg FROM t{i}
+), b{i} AS (SELECT host, node, seg, sum(good) good, sum(bad) bad, count(*) urls FROM a{i} GROUP BY ALL
+), o{i} AS (SELECT host, node, sum(good) ag, sum(bad) ab, sum(urls) aurls, count(*) fan FROM b{i} GROUP BY ALL
+), k{i} AS (SELECT b.*, aurls, fan, (good + bad)::DOUBLE l, CASE WHEN good + bad > 0 THEN bad / (good + bad)::DOUBLE END p,
   CASE WHEN ag + ab > 0 THEN ab / (ag + ab)::DOUBLE END whole FROM b{i} b JOIN o{i} USING (host, node)
 ), w{i} AS (SELECT *, (p + {Z * Z} / (2 * l)) / (1 + {Z * Z} / l) mid, {Z} * sqrt(p * (1 - p) / l + {Z * Z} / (4 * l * l)) / (1 + {Z * Z} / l) half FROM k{i}
-), n{i} AS (SELECT host, node, s{i}, CASE WHEN fan > {FAN_OUT} AND n < {RARE} * an OR l = 0 THEN '*' WHEN mid - half > whole THEN '*bad'
-  WHEN mid + half < whole THEN '*good' WHEN fan > 1 THEN '*like' ELSE s{i} END branch FROM w{i}
-), t{i + 1} AS (SELECT host, path, n, good, bad, CASE WHEN branch IS NULL THEN node ELSE node || '/' || branch END AS node{rest}, deeper
-  FROM t{i} LEFT JOIN n{i} USING (host, node, s{i}))"""
+), n{i} AS (SELECT host, node, seg, CASE WHEN aurls = 1 THEN '**' WHEN l = 0 THEN '*' WHEN mid - half > whole + {SLACK} THEN '*bad'
+  WHEN mid + half < whole - {SLACK} THEN '*good' WHEN fan > 1 THEN '*like' ELSE seg END branch FROM w{i}
+), e{i} AS MATERIALIZED (SELECT host, path, good, bad, parts, node || '/' || branch AS node, branch = '**' OR len(parts) <= {i + 1} AS done FROM a{i} JOIN n{i} USING (host, node, seg)
+), t{i + 1} AS (SELECT host, path, good, bad, parts, node FROM e{i} WHERE NOT done)"""
+    ended = " UNION ALL ".join(f"SELECT host, path, good, bad, node AS template FROM e{i} WHERE done" for i in range(SQL_LEVELS))
     return f"""
 WITH h AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages
-), r AS (SELECT *, CASE {cases} END AS hit FROM h
-), u AS (SELECT host, path, count(*) n, count(*) FILTER (hit LIKE '% allow') good, count(*) FILTER (hit LIKE '% block') bad,
-  string_split(regexp_replace(path, '^/', ''), '/') AS parts FROM r GROUP BY host, path
-), t0 AS (SELECT host, path, n, good, bad, '' AS node, {", ".join(f"{clean('(' + piece(i) + ')')} AS s{i}" for i in range(DEPTH))}, len(parts) > {DEPTH} AS deeper FROM u)
+), r AS MATERIALIZED (SELECT *, CASE {cases} END AS hit FROM h
+), t0 AS (SELECT host, path, count(*) FILTER (hit LIKE '% allow') good, count(*) FILTER (hit LIKE '% block') bad,
+  string_split(regexp_replace(path, '^/', ''), '/') AS parts, '' AS node FROM r GROUP BY host, path)
 {levels}
-, x AS (SELECT host, path, good, bad, node || CASE WHEN deeper THEN '/**' ELSE '' END AS template FROM t{DEPTH}
-), j AS (SELECT host, template, (sum(good) + {SMOOTHING * PRIOR}::DOUBLE) / (sum(good) + sum(bad) + {SMOOTHING}::DOUBLE) AS purity FROM x GROUP BY ALL)
+, x AS MATERIALIZED ({ended}
+), per AS (SELECT host, template, sum(good) good, sum(bad) bad, string_split(template, '/') nodes FROM x GROUP BY host, template
+), ch AS MATERIALIZED (
+  SELECT host, template, good, bad, k AS depth, host || ' ' || array_to_string(nodes[:k], '/') AS place FROM (SELECT *, unnest(range(1, len(nodes) + 1)) AS k FROM per)
+), su AS (SELECT place, sum(good)::DOUBLE g, sum(bad)::DOUBLE b FROM ch GROUP BY place
+), li AS (SELECT host, template, list({{'g': g, 'b': b, 'p': 0.0::DOUBLE}} ORDER BY depth) AS chain FROM ch JOIN su USING (place) GROUP BY host, template
+), j AS (SELECT host, template, list_reduce(list_prepend({{'g': 0.0::DOUBLE, 'b': 0.0::DOUBLE, 'p': {PRIOR}::DOUBLE}}, chain),
+  lambda x, y: {{'g': y.g, 'b': y.b, 'p': (y.g + {SMOOTHING}::DOUBLE * x.p) / (y.g + y.b + {SMOOTHING}::DOUBLE)}}).p AS purity FROM li)
 SELECT page_id, host, path, split_part(hit, ' ', 1) AS rule, coalesce(split_part(hit, ' ', 2), CASE WHEN purity < {PURITY} THEN 'block' ELSE 'allow' END) AS verdict,
        template, purity
 FROM r JOIN x USING (host, path) JOIN j USING (host, template)"""

@@ -87,7 +87,7 @@ def test_url_rules_and_templates(spark):
         assert (r.host, r.path, r.rule) == (host, path, rule)
         assert r.verdict == verdict if rule else r.verdict in ("allow", "block")
     templates = {r.template for r in got if r.host == "bulk.org"}
-    assert 1 < len(templates) <= 3 and {r.verdict for r in got if r.host == "bulk.org" and r.path.startswith("/fr")} == {"allow"}
+    assert 1 < len(templates) <= 3 and {r.verdict for r in got if r.host == "bulk.org" and r.path.startswith("/fr")} == {"block"}  # all that is known of the host is bad
     assert len({r.template for r in got if r.host == "wide.net"}) <= 3
     assert url_filter.filter_urls(df.limit(0), "page_id", "url", url_filter.RULES).count() == 0
 
@@ -100,6 +100,18 @@ def test_url_labels_reject_a_template(spark):
     assert {r.verdict for r in got if r.path.startswith("/good")} == {"allow"}
 
 
+def test_url_purity_comes_from_above(spark):
+    """Branches without labels take after their node and host; a host without labels is allowed; deep branches stay apart."""
+    rows = [(f"http://a.bad.io/x/{i}/p", False) for i in range(40)] + [(f"http://fine.net/x/{i}/p", True) for i in range(40)]
+    rows += [(f"http://deep.net/a/b/c/d/e/{kind}/{i}", kind == "good") for kind in ("good", "spam") for i in range(40)]
+    open_ = ["http://a.bad.io/y/1", "http://b.bad.io/z", "http://fine.net/y/1", "http://c.fine.net/q", "http://deep.net/a/b/c/d/e/spam/99", "http://deep.net/a/b/c/d/e/good/99"]
+    rows += [(u, None) for u in open_]
+    df = spark.createDataFrame([(i, u, g) for i, (u, g) in enumerate(rows)], "page_id long, url string, fine boolean")
+    got = {rows[r.page_id][0]: r for r in url_filter.filter_urls(df, "page_id", "url", (), F.col("fine")).collect()}
+    assert [got[u].verdict for u in open_] == ["block", "allow", "allow", "allow", "block", "allow"]
+    assert got[open_[0]].purity < 0.5 < got[open_[1]].purity == url_filter.PRIOR
+
+
 # html
 
 PAGE = (
