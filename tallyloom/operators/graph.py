@@ -158,7 +158,7 @@ def answer_questions(questions: DataFrame, edges: DataFrame, words: dict[str, st
     paths = found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("hop", "relation"))).alias("path"))  # one question's words
     asked = materialise(subjects.join(paths, "qid", "left"), "asked")
     walks = asked.filter("path is not null").select("subject", "path").distinct()
-    walks = materialise(walks.withColumn("qid", F.xxhash64("subject", F.to_json("path"))), "walks")
+    walks = materialise(walks.withColumn("qid", F.struct("subject", F.to_json("path").alias("steps"))), "walks")
     steps = walks.select("qid", F.explode("path").alias("s")).select("qid", "s.hop", "s.relation")
     hops = steps.agg(F.max("hop")).first()[0] or 0  # at most the number of relation words
     reached = follow_relations(edges, walks.select("qid", F.col("subject").alias("name")), steps, hops, mode)

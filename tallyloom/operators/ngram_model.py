@@ -184,6 +184,11 @@ def uninterpolated(counts: DataFrame, discounts: DataFrame, contexts: DataFrame,
     return both.select("order", "words", "context", u.alias("u"), g.alias("gamma"))
 
 
+def _log10(c: str) -> Column:
+    """The logarithm of 0 is minus infinity: without interpolation a discount may take all of a word's count."""
+    return F.when(F.col(c) > 0, F.log10(c)).otherwise(F.lit(float("-inf")))
+
+
 def interpolate_orders(u: DataFrame, contexts: DataFrame, order: int, vocab_pad: int = 0) -> DataFrame:
     """Interpolated log10 model ``(order, words, prob, backoff)``.
 
@@ -216,8 +221,8 @@ def interpolate_orders(u: DataFrame, contexts: DataFrame, order: int, vocab_pad:
         done = level.select(
             F.lit(k).alias("order"),
             "words",
-            F.least(F.log10("p"), F.lit(0.0)).alias("prob"),
-            F.log10("bow").alias("backoff"),
+            F.least(_log10("p"), F.lit(0.0)).alias("prob"),
+            _log10("bow").alias("backoff"),
         )
         out = done if out is None else out.unionByName(done)
     return out

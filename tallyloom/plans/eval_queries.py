@@ -236,6 +236,12 @@ def ev_17(spark, d):
     return ev.render_prompts(pairs(spark, d), TEMPLATES, 2, "z")
 
 
+@register("ev_17_verifier_prompts", f"WITH {PAIRS} SELECT id, 'Which: ' || sent0 || ' / ' || sent1 || '? Label ' || gold || ' as {{x}} ' || sent1 AS prompt FROM pr")
+def ev_17b(spark, d):
+    candidates = pairs(spark, d).select("id", "sent0", "sent1", F.col("gold").alias("label"), F.col("sent1").alias("reason"))
+    return ev.verifier_prompts(candidates, "Which: {sent0} / {sent1}? Label {label} as {x} {reason}").select("id", "prompt")
+
+
 @register("ev_18_select_demonstrations", f"""WITH {PAIRS}, r AS (SELECT id, sent0, sent1, gold, row_number() OVER (PARTITION BY gold ORDER BY {stable_hash_sql('id', 3)}, id) AS rn FROM pr)
 SELECT id, sent0, sent1, gold, (2 * (rn - 1) + gold)::INTEGER AS position FROM r WHERE rn <= CASE WHEN gold = 0 THEN 5 ELSE 4 END""")
 def ev_18(spark, d):

@@ -197,6 +197,18 @@ def cv_18(spark, d):
     return phases(spark, d).select("run", "step", "phase", "train_loss", "eval_action_l1")
 
 
+@register("cv_18_legacy_metrics", """SELECT 'r' || (o_custkey % 7) AS run, o_orderkey::INTEGER AS step, (o_orderkey % 10)::INTEGER AS epoch, CASE WHEN o_orderkey % 3 <> 0 THEN 'train' ELSE 'eval' END AS phase,
+CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS train_loss, CASE WHEN o_orderkey % 3 <> 0 THEN 0.5::DOUBLE END AS train_action_l1, CASE WHEN o_orderkey % 3 <> 0 THEN 0.1::DOUBLE END AS lr,
+CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS eval_action_l1 FROM orders WHERE o_orderkey % 11 <> 0""")
+def cv_18b(spark, d):
+    """Rows without a header: five columns train, three columns eval, blank lines nothing."""
+    o = table(spark, d, "orders")
+    start = [F.col("o_orderkey").cast("string"), (F.col("o_orderkey") % 10).cast("string"), F.col("o_totalprice").cast("string")]
+    row = F.when(F.col("o_orderkey") % 3 != 0, F.concat_ws(",", *start, F.lit("0.5"), F.lit("0.1"))).otherwise(F.concat_ws(",", *start))
+    lines = o.select(F.concat(F.lit("r"), F.col("o_custkey") % 7).alias("run"), F.when(F.col("o_orderkey") % 11 == 0, "").otherwise(row).alias("value"))
+    return cv.parse_legacy_metrics(lines, "run", "value")
+
+
 @register("cv_19_run_summary", f"""WITH {_WIDE} SELECT run, count(tl)::BIGINT AS train_points, count(ev)::BIGINT AS eval_points, arg_max(tl, step) FILTER (tl IS NOT NULL) AS last_train, min(ev) AS best_eval,
 arg_max(ev, step) FILTER (ev IS NOT NULL) AS final_eval FROM wd GROUP BY 1""")
 def cv_19(spark, d):

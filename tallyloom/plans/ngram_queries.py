@@ -10,7 +10,7 @@ from ..operators import ngram_mix as mix
 from ..operators import ngram_model as nm
 from ..operators import ngram_score as ns
 from ..session import materialise
-from ..sources import arpa
+from ..sources import arpa, corpus
 from ..sources.corpus import sentences
 from .registry import register, shared, table
 
@@ -189,6 +189,17 @@ def src_1(spark, d):
     return docs(spark, d).select("doc_id", "line_no", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("line"))
 
 
+@register("src_1_read_corpus_files", f"WITH {DOC} SELECT array_to_string(tokens, ' ') AS line, count(*)::BIGINT AS n FROM ds GROUP BY 1")
+def src_1b(spark, d):
+    """The lines as files, plain and gz, read back."""
+    path = arpa.scratch_path(spark, "corpus")
+    t = table(spark, d, "documents")
+    lines = t.select("doc_id", F.explode(F.split("text", "\n")).alias("value"))
+    for odd, codec in ((0, "none"), (1, "gzip")):
+        lines.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == odd).select("value").write.mode("append").option("compression", codec).text(path)
+    return corpus.read_corpus(spark, path).groupBy(F.array_join("tokens", " ").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("src_2_read_arpa", f"WITH {DOC}, {MODEL} SELECT ord::INTEGER AS ord, words, {D6('prob')}, {D6('backoff')} FROM lm")
 def src_2(spark, d):
     lm = arpa.read_arpa(spark, _arpa_file(spark, d))

@@ -188,6 +188,12 @@ def prep_10b(spark, d):
     return prep.truncation_rate(docs_tok(spark, d), "source", "nt", 512).withColumn("rate", F.round("rate", 6))
 
 
+@register("prep_11_sample_frame", "SELECT '2' AS data_version, 7::INTEGER AS seed, 25::INTEGER AS wanted, count(*)::BIGINT AS rows, 'by source,least hash' AS rules FROM documents")
+def prep_11b(spark, d):
+    frame = prep.sample_frame(table(spark, d, "documents"), 25, 7, "2", ["by source", "least hash"])
+    return frame.select("data_version", "seed", "wanted", "rows", F.array_join("rules", ",").alias("rules"))
+
+
 @register("prep_11_diagnostic_sample", f"""SELECT doc_id, source, sample_key FROM (SELECT doc_id, source, {stable_hash_sql('doc_id', 7)} AS sample_key FROM documents)
 QUALIFY row_number() OVER (PARTITION BY source ORDER BY sample_key, doc_id) <= 25""")
 def prep_11(spark, d):

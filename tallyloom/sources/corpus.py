@@ -16,9 +16,13 @@ def _checked(lines: DataFrame, keep: list[str], strict: bool) -> DataFrame:
     return lines.select(*keep, tokens.alias("tokens"))
 
 
-def read_corpus(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Text files (gz and bz2 by extension) to ``(file, tokens)``; blank lines stay."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+def read_corpus(spark: SparkSession, path: str | list[str], strict: bool = False) -> DataFrame:
+    """Text files (gz and bz2 by extension) to ``(file, tokens)``; blank lines stay.
+
+    A line ends at a line feed alone; a carriage return is white space.  Null
+    characters are, too.  ``strict`` makes a special word an error.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
     return _checked(lines, ["file"], strict)
 
 
