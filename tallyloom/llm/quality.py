@@ -1,9 +1,9 @@
 """Quality classifier: nearest-neighbour voting in a latent-semantic space.
 
-Features are runs of character classes (letters by case, digits, each
-punctuation mark, doubled or not) in windows of one to three, and how often a
-word repeats the one before.  A truncated SVD of the log-tf-idf matrix of a
-bounded sample of labelled texts gives the space.  Every document is projected,
+Features are words, hashed and in lower case, runs of character classes (letters
+by case, digits, each punctuation mark, doubled or not) in windows of one to
+three, and how often a word repeats the one before.  A truncated SVD of the
+log-tf-idf matrix of a bounded sample of labelled texts gives the space.  Every document is projected,
 its exact cosines with all labelled vectors are computed block by block, and its
 nearest labelled vectors vote with their similarity as weight.
 """
@@ -25,7 +25,9 @@ from .registry import register, table
 
 SAMPLE = 3000  # labelled texts that the space and the voters are made of, at most
 BITS = 11
-FEATURES = (1 << BITS) + 2  # the last two: words that repeat the one before, and others
+WORD_BITS = 11
+RUNS, WORDS = 1 << BITS, 1 << WORD_BITS
+FEATURES = RUNS + WORDS + 2  # the last two: words that repeat the one before, and others
 DIMENSIONS = 32
 NEIGHBOURS = 40
 POWER = 8  # of the similarity, as a vote's weight
@@ -70,16 +72,30 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         same = doc[:m] == doc[k - 1 :]
         slot = (K.mix64(code[same].astype(np.uint64)) >> np.uint64(64 - BITS)).astype(np.int64)
         size = n << BITS
-        out[:, : 1 << BITS] += np.bincount((doc[:m][same] << BITS) + slot, minlength=size).reshape(n, -1)
+        out[:, :RUNS] += np.bincount((doc[:m][same] << BITS) + slot, minlength=size).reshape(n, -1)
     start, stop, first = K.words(data, offsets)
-    hashes = K.word_hashes(data, start, stop)
+    hashes = K.word_hashes(K.LOWER[data], start, stop)
     owner = np.repeat(np.arange(n), np.diff(first))
+    slot = (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+    out[:, RUNS : RUNS + WORDS] = np.bincount((owner << WORD_BITS) + slot, minlength=n << WORD_BITS).reshape(n, -1)
     again = (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])
     out[:, -2] = np.bincount(owner[1:][again], minlength=n)
     out[:, -1] = np.diff(first) - out[:, -2]
     return out
 
 
+def leading_axes(rows: np.ndarray, dimensions: int, rounds: int = 40) -> np.ndarray:
+    """The leading right singular vectors as columns, by orthogonal iteration: no product as large as sample x sample is held."""
+    k = min(dimensions, *rows.shape)
+    if not k:
+        return np.zeros((rows.shape[1], 1), np.float32)
+    q = np.random.default_rng(3).standard_normal((len(rows), min(k + 16, len(rows)))).astype(np.float32)
+    for _ in range(rounds):
+        q = np.linalg.qr(rows @ (rows.T @ q))[0]
+    left, values, _ = np.linalg.svd(rows.T @ q, full_matrices=False)
+    return left[:, :k][:, values[:k] > 1e-3 * max(float(values[0]), 1e-9)] if values[0] > 0 else left[:, :1]
+
+
 @dataclass
 class Voters:
     """The latent-semantic space and the labelled vectors in it."""
@@ -97,8 +113,10 @@ class Voters:
     @classmethod
     def fit(cls, counts: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS) -> Voters:
         idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 0.1).astype(np.float32)
-        weighted = cls.unit(np.log1p(counts) * idf)
-        axes = np.linalg.svd(weighted, full_matrices=False)[2][:dimensions].T if len(counts) else np.zeros((counts.shape[1], 1), np.float32)
+        weighted = np.log1p(counts)
+        weighted *= idf
+        weighted /= np.maximum(np.linalg.norm(weighted, axis=1, keepdims=True), 1e-9)
+        axes = leading_axes(weighted, dimensions)
         vectors = cls.unit(weighted @ axes)
         return cls(idf, axes.astype(np.float32), vectors.astype(np.float32), labels.astype(np.float32), float(labels.mean()) if len(labels) else 0.5)
 
@@ -136,16 +154,25 @@ def fit_voters(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label
     def count(batches):
         for batch in batches:
             for i, j, data, offsets in K.chunks(batch.column(1)):
-                rows = features(data, offsets).astype(np.float16)
+                rows = features(data, offsets)
+                held = [np.flatnonzero(r) for r in rows]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), K.blobs(list(rows))], names=["id", "y", "counts"]
+                    [
+                        batch.column(0).slice(i, j - i),
+                        batch.column(2).slice(i, j - i),
+                        K.blobs([h.astype("<u2") for h in held]),
+                        K.blobs([r[h].astype("<f4") for r, h in zip(rows, held, strict=True)]),
+                    ],
+                    names=["id", "y", "at", "counts"],
                 )
 
-    rows = texts.select("__id", "__text", "__y").mapInArrow(count, "id long, y double, counts binary")
-    got = rows.groupBy("id").agg(F.first("y").alias("y"), F.min("counts").alias("counts")).collect()
+    rows = texts.select("__id", "__text", "__y").mapInArrow(count, "id long, y double, at binary, counts binary")
+    got = rows.groupBy("id").agg(F.first("y").alias("y"), F.min(F.struct("at", "counts")).alias("f")).collect()
     got.sort(key=lambda r: r["id"])
-    counts = np.array([np.frombuffer(r["counts"], np.float16) for r in got], np.float32).reshape(len(got), FEATURES)
-    return Voters.fit(np.where(np.isfinite(counts), counts, 65504), np.array([r["y"] for r in got], float))
+    counts = np.zeros((len(got), FEATURES), np.float32)
+    for row, r in zip(counts, got, strict=True):
+        row[np.frombuffer(r["f"]["at"], "<u2")] = np.frombuffer(r["f"]["counts"], "<f4")
+    return Voters.fit(counts, np.array([r["y"] for r in got], float))
 
 
 def with_score(docs: DataFrame, text: str, carry: Sequence[str], voters: Voters, name: str = "__score") -> DataFrame:
