@@ -96,10 +96,44 @@ def rank_by_order(
 ) -> DataFrame:
     """Order by any sortable columns: the slice is a range partition.
 
+    """
+    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    return _finish(_ranged(df, group, order), list(group), order, rank, amount, running, total)
+
+
+def _ranged(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Rows with the range partition that they fall in.
+
     Range bounds are sampled anew on every run, so the partition number is
     written out with the rows before it is read twice.
     """
-    order = [F.col(o) if isinstance(o, str) else o for o in order]
     ranged = df.repartitionByRange(*[F.col(g) for g in group], *order)
-    ranged = materialise(ranged.withColumn(SLICE, F.spark_partition_id().cast("bigint")), "ranged")
-    return _finish(ranged, list(group), order, rank, amount, running, total)
+    return materialise(ranged.withColumn(SLICE, F.spark_partition_id().cast("bigint")), "ranged")
+
+
+def _with_previous(sliced: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:
+    """``__before``, a struct of the value ``v`` of the row before in its group, null for the first.
+
+    Each slice hands its last value on to the next one.
+    """
+    keys = [*group, SLICE]
+    held = F.struct(F.col(value).alias("v"))
+    ends = sliced.groupBy(*keys).agg(F.max_by(held, F.struct(*order)).alias("__last"))
+    handed = ends.select(*keys, F.lag("__last").over(Window.partitionBy(*group).orderBy(SLICE)).alias("__handed"))  # one row per slice
+    local = sliced.withColumn("__own", F.lag(held).over(Window.partitionBy(*keys).orderBy(*order)))
+    left, right = local.alias("l"), handed.alias("r")
+    matched = left.join(right, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
+    return matched.select(*[F.col(f"l.{c}").alias(c) for c in sliced.columns], F.coalesce("__own", "__handed").alias("__before"))
+
+
+def previous_by_order(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, before: str) -> DataFrame:
+    """``before``: the value of the row before by ascending ``order``, null for a group's first row; one range sort."""
+    sliced = _ranged(df, group, [F.col(o) for o in order])
+    return _with_previous(sliced, list(group), list(order), value).withColumn(before, F.col("__before.v")).drop("__before", SLICE)
+
+
+def runs_by_order(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, run: str) -> DataFrame:
+    """``run``: the number, from 1, of the row's run of equal values in its group; a null is a run of its own.  One range sort."""
+    flagged = _with_previous(_ranged(df, group, [F.col(o) for o in order]), list(group), list(order), value)
+    flagged = flagged.withColumn("__s", F.when(F.col("__before.v") == F.col(value), 0).otherwise(1)).drop("__before")
+    return _finish(materialise(flagged, "flagged"), list(group), [F.col(o) for o in order], None, "__s", run, None).drop("__s")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.ordering import rank_by_order
+from ..functions.ordering import rank_by_order, runs_by_order
 from ..functions.replies import first_match, strip
 
 PARAGRAPH_BREAK = "\n"
@@ -98,12 +98,7 @@ def clean_page_text(text: Column) -> Column:
 
 def group_layout_pages(layouts: DataFrame, doc: str, order: str, page: str, content: str) -> DataFrame:
     """Consecutive layout rows of one page number become one record, in order."""
-    ranked = rank_by_order(layouts.select(doc, order, page, content), [doc], [order], rank="__r")
-    before = ranked.select(doc, (F.col("__r") + 1).alias("__r"), F.col(page).alias("__p"))
-    flagged = ranked.join(before, [doc, "__r"], "left").withColumn(
-        "__s", F.when(F.col("__p") == F.col(page), 0).otherwise(1)
-    )
-    runs = rank_by_order(flagged.select(doc, order, page, content, "__s"), [doc], [order], rank=None, amount="__s", running="run")
+    runs = runs_by_order(layouts.select(doc, order, page, content), [doc], [order], page, "run")
     parts = F.array_sort(F.collect_list(F.struct(order, content)))  # the layout rows of one page
     return runs.groupBy(doc, "run", page).agg(F.transform(parts, lambda s: s[content]).alias("content"))
 

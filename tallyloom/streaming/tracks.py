@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.names import lookup
-from ..functions.ordering import rank_by_order
+from ..functions.ordering import previous_by_order
 
 # fixed values: labels of one family
 FAMILIES = {
@@ -343,14 +343,13 @@ def stream_track_reconnect(detections: DataFrame, rules: TrackRules, time_col: s
 def line_crossings(tracked: DataFrame, keys: list[str], order: list[str], coordinate: str, line: float) -> DataFrame:
     """First crossing of the line per track (half-open rule): ``(keys, order)``.
 
-    The position before comes from a join on (track, rank), so a track with very
-    many positions is spread over all tasks.
+    The position before is handed on from slice to slice of the order, so a track
+    with very many positions is spread over all tasks.
     """
-    ranked = rank_by_order(tracked.select(*keys, *order, coordinate), keys, order, rank="__r")
-    before = ranked.select(*keys, (F.col("__r") + 1).alias("__r"), F.col(coordinate).alias("__p"))
+    placed = previous_by_order(tracked.select(*keys, *order, coordinate), keys, order, coordinate, "__p")
     now, was = F.col(coordinate), F.col("__p")
     hit = ((was < line) & (now >= line)) | ((now <= line) & (was > line))
-    crossed = ranked.join(before, [*keys, "__r"]).filter(hit)
+    crossed = placed.filter(hit)
     return crossed.groupBy(*keys).agg(F.min(F.struct(*order)).alias("__o")).select(*keys, "__o.*")
 
 
