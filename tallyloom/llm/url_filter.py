@@ -27,7 +27,7 @@ from .registry import register, table
 RULES = (
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
-    ("block", "net", "/de/"),
+    ("allow", "net", "/de/"),
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )

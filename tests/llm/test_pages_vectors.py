@@ -92,6 +92,15 @@ def test_url_rules_and_templates(spark):
     assert url_filter.filter_urls(df.limit(0), "page_id", "url", url_filter.RULES).count() == 0
 
 
+def test_url_rules_are_those_of_the_contract(spark, tmp_path):
+    asked = [("a.com", "/en/1", "block"), ("example.com", "/en/71", "allow"), ("example.com", "/en/1", "block"), ("a.net", "/de/8", "allow"), ("net", "/de/", "allow")]
+    asked += [("www.example.net", "/de/8", "block"), ("example.net", "/de/7", "allow"), ("a.org", "/es/1", "block")]
+    spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p, _) in enumerate(asked)], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r for r in url_filter.op9_url_filter(spark, str(tmp_path)).collect()}
+    assert [got[i].verdict for i in range(len(asked))] == [v for _, _, v in asked]
+    assert [got[i].rule for i in (0, 1, 3, 5, 7)] == ["com/en/", "example.com/en/7", "net/de/", "example.net/de/8", "org/es/"]
+
+
 def test_url_labels_reject_a_template(spark):
     rows = [(i, f"http://s.io/spam/{i}", i >= 30 and None) for i in range(60)] + [(100 + i, f"http://s.io/good/{i}", True) for i in range(60)]
     df = spark.createDataFrame(rows, "page_id long, url string, fine boolean")
