@@ -225,7 +225,7 @@ def main_text(html: str, sigma: float = SIGMA, share: float = SHARE) -> str:
         weight[parser.parent[b]] += weight[b]
     everything = weight[0]
     marked = [b for b in range(len(weight)) if parser.name[b] in ROOT and weight[b] > 0]
-    region = -1
+    region, split = -1, []
     for kind in ("article", "main"):  # one element, else the parts of a split article together
         own_kind = [b for b in marked if parser.name[b] == kind]
         best = max(own_kind, key=lambda b: (weight[b], -b), default=-1)
@@ -234,19 +234,23 @@ def main_text(html: str, sigma: float = SIGMA, share: float = SHARE) -> str:
             break
         parts = [b for b in own_kind if best >= 0 and parser.parent[b] == parser.parent[best]]
         if len(parts) > 1 and sum(weight[b] for b in parts) >= share * everything:
-            region = parser.parent[best]
+            region, split = parser.parent[best], parts
             break
     exact = region >= 0 and parser.name[region] in ROOT
     if region < 0:  # the innermost container that holds most of the content cluster
         region = max((b for b in range(len(weight)) if weight[b] >= share * everything and parser.name[b] not in LEAF), default=0)
-    inside = np.zeros(len(weight), bool)
+    inside, in_part = np.zeros(len(weight), bool), np.zeros(len(weight), bool)
     inside[region] = True
+    in_part[split] = True
     for b in range(region + 1, len(weight)):
         inside[b] = inside[parser.parent[b]]
+        in_part[b] |= in_part[parser.parent[b]]
     linked = np.array([line[2] >= LINKS * max(1, len(line[0])) for line in lines])
     kept = [i for i, (text, _, _, side, block, doubtful) in enumerate(lines) if text and not side and inside[block] and (content[i] or not doubtful)]
     if not exact:  # several lines of links are a menu, a single one is a reference
         menu = {i for a, b in zip(kept[:-1], kept[1:], strict=True) if linked[a] and linked[b] for i in (a, b)}
+        if split:  # beside the parts of a split article a single one is a menu, too
+            menu |= {i for i in kept if linked[i] and not in_part[lines[i][4]]}
         kept = [i for i in kept if i not in menu]
     return "\n\n".join(lines[i][0] for i in kept)
 
