@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import BOS, EOS, context_of
+from ..session import materialise
 
 BLOCK = 62
 
@@ -25,15 +26,19 @@ def plain_words(text: Column) -> Column:
 
 
 def filter_single(ngrams: DataFrame, vocab: DataFrame, text: Column | None = None) -> DataFrame:
-    """Keep n-grams whose non-tag words are all in ``vocab(word)``."""
+    """Keep n-grams whose non-tag words are all in ``vocab(word)``.
+
+    A join per place of a word: what fails at one place is gone at the next, and
+    n-grams are not moved at all where the vocabulary is small.
+    """
     text = F.col("words") if text is None else text
-    bad = (
-        ngrams.select("words", F.explode(plain_words(text)).alias("word"))
-        .join(vocab.select("word"), "word", "left_anti")
-        .select("words")
-        .distinct()
-    )
-    return ngrams.join(bad, "words", "left_anti")
+    left = ngrams.withColumn("__ws", plain_words(text))
+    longest = left.agg(F.max(F.size("__ws"))).first()[0] or 0
+    known = materialise(vocab.select("word").distinct(), "vocab")  # written, so that its size is known
+    for i in range(longest):
+        listed = known.select(F.col("word").alias("__w"), F.lit(True).alias("__known"))
+        left = left.withColumn("__w", F.get("__ws", F.lit(i))).join(listed, "__w", "left").filter(F.col("__w").isNull() | F.col("__known")).drop("__w", "__known")
+    return left.select(ngrams.columns)
 
 
 def _masks(sets: DataFrame, keys: list[str]) -> DataFrame:
@@ -66,21 +71,21 @@ def _common(parts: DataFrame, sets: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _word_parts(ngrams: DataFrame, sent_vocab: DataFrame, text: Column) -> tuple[DataFrame, DataFrame]:
-    listed = ngrams.select("words", plain_words(text).alias("__ws"))
-    free = listed.filter(F.size("__ws") == 0).select("words")
+def _word_parts(ngrams: DataFrame, sent_vocab: DataFrame, text: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
     # a word in no sentence at all rules the n-gram out before the set join
-    able = filter_single(listed.filter(F.size("__ws") > 0), sent_vocab.select("word").distinct(), F.array_join("__ws", " "))
-    parts = able.select("words", F.lit(0).alias("variant"), F.size("__ws").alias("n"), F.explode("__ws").alias("word"))
-    return parts, free
+    able = materialise(filter_single(ngrams, sent_vocab, text), "able")
+    listed = able.select("words", plain_words(text).alias("__ws"))
+    free = listed.filter(F.size("__ws") == 0).select("words")
+    parts = listed.filter(F.size("__ws") > 0).select("words", F.lit(0).alias("variant"), F.size("__ws").alias("n"), F.explode("__ws").alias("word"))
+    return able, parts, free
 
 
 def filter_union(ngrams: DataFrame, sent_vocab: DataFrame, text: Column | None = None) -> DataFrame:
     """Keep n-grams if one sentence of ``sent_vocab(sent_id, word)`` holds all words."""
     text = F.col("words") if text is None else text
-    parts, free = _word_parts(ngrams, sent_vocab, text)
+    able, parts, free = _word_parts(ngrams, sent_vocab, text)
     good = _common(parts, sent_vocab, ["word"]).select("words").distinct()
-    return ngrams.join(good.unionByName(free), "words", "left_semi")
+    return able.join(good.unionByName(free), "words", "left_semi")
 
 
 def filter_multiple(ngrams: DataFrame, sent_vocab: DataFrame, text: Column | None = None) -> DataFrame:
@@ -90,7 +95,7 @@ def filter_multiple(ngrams: DataFrame, sent_vocab: DataFrame, text: Column | Non
     sentence id rather than copied once per sentence.
     """
     text = F.col("words") if text is None else text
-    parts, free = _word_parts(ngrams, sent_vocab, text)
+    _, parts, free = _word_parts(ngrams, sent_vocab, text)
     pairs = _explode_masks(_common(parts, sent_vocab, ["word"]))
     return pairs.select("sent_id", "words").unionByName(free.select(F.lit(None).cast("bigint").alias("sent_id"), "words"))
 
@@ -125,16 +130,17 @@ def phrase_relations(phrases: DataFrame, max_len: int) -> DataFrame:
     ).distinct()
 
 
+def _body(text: Column) -> Column:
+    """The words of an n-gram after a leading tag and before the end mark."""
+    split = F.split(text, " ")
+    body = F.when(is_tag(F.element_at(split, 1)), F.slice(split, 2, F.greatest(F.size(split) - 1, F.lit(0)))).otherwise(split)
+    stop = F.array_position(body, F.lit(EOS)).cast("int")
+    return F.when(stop > 0, F.slice(body, F.lit(1), stop - 1)).otherwise(body)
+
+
 def _segmentations(ngrams: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every way to cut an n-gram into consecutive segments, with the kind each must have."""
-    split = F.split("words", " ")
-    body = F.when(is_tag(F.element_at(split, 1)), F.slice(split, 2, F.greatest(F.size(split) - 1, F.lit(0)))).otherwise(split)
-    stop = F.array_position("__b", F.lit(EOS)).cast("int")
-    cut = (
-        ngrams.select("words", body.alias("__b"))
-        .select("words", F.when(stop > 0, F.slice("__b", 1, stop - 1)).otherwise(F.col("__b")).alias("__b"))
-        .select("words", "__b", F.size("__b").alias("__n"))
-    )
+    cut = ngrams.select("words", _body(F.col("words")).alias("__b")).select("words", "__b", F.size("__b").alias("__n"))
     free = cut.filter("__n = 0").select("words")
     # bit i of the variant set = cut after word i + 1
     variants = cut.filter("__n > 0").select(
@@ -176,9 +182,12 @@ def filter_phrase(ngrams: DataFrame, phrases: DataFrame, mode: str = "union", ma
     """
     if max_len is None:
         max_len = ngrams.agg(F.max(F.size(F.split("words", " ")))).first()[0] or 1
-    good, free = _phrase_hits(ngrams, phrases, max_len)
+    # a word in no phrase at all rules the n-gram out before it is cut
+    vocab = phrases.select(F.explode(F.split("phrase", " ")).alias("word"))
+    able = materialise(filter_single(ngrams, vocab, F.array_join(_body(F.col("words")), " ")), "able")
+    good, free = _phrase_hits(able, phrases, max_len)
     if mode == "union":
-        return ngrams.join(good.select("words").distinct().unionByName(free), "words", "left_semi")
+        return able.join(good.select("words").distinct().unionByName(free), "words", "left_semi")
     pairs = _explode_masks(good).select("sent_id", "words")
     return pairs.unionByName(free.select(F.lit(None).cast("bigint").alias("sent_id"), "words"))
 

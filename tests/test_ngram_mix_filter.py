@@ -201,3 +201,18 @@ def test_scores_match_brute_force(spark, models):
     total = sc.corpus_perplexity(corpus(spark, lines), models[1], 3).first()
     assert total["tokens"] == len(toks) and total["oovs"] == 1
     assert total["total"] == pytest.approx(sum(r["prob"] for r in toks))
+
+
+def test_ngrams_outside_the_vocabulary_are_gone_before_they_are_cut(spark, monkeypatch):
+    """Only n-grams whose words all stand in a phrase are cut into segments, and none is moved to be looked up."""
+    grams = spark.createDataFrame([("a b c", 1), ("x a b", 1), ("a b x", 2), ("<s> a b", 3), ("b c </s>", 1), ("<s> </s>", 1)], "words string, raw long")
+    phrases = spark.createDataFrame([(1, "a b"), (1, "c d"), (2, "b")], "sent_id long, phrase string")
+    cut, before = [], nf._segmentations
+    monkeypatch.setattr(nf, "_segmentations", lambda g: cut.append(sorted(r.words for r in g.collect())) or before(g))
+    got = sorted(tuple(r) for r in nf.filter_phrase(grams, phrases, "union", 3).collect())
+    assert got == [("<s> </s>", 1), ("<s> a b", 3), ("a b c", 1), ("b c </s>", 1)]
+    assert cut == [["<s> </s>", "<s> a b", "a b c", "b c </s>"]]
+    vocab = spark.createDataFrame([("a",), ("b",), ("c",), ("a",), (None,)], "word string")
+    known = nf.filter_single(grams.unionByName(spark.createDataFrame([(None, 9), ("a b c", 4)], "words string, raw long")), vocab)
+    assert "hashpartitioning(words" not in known._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.words or "", r.raw) for r in known.collect()) == [("", 9), ("<s> </s>", 1), ("<s> a b", 3), ("a b c", 1), ("a b c", 4), ("b c </s>", 1)]
