@@ -99,3 +99,21 @@ def test_choose_completion(spark):
         "item int, option int, pos int, ctx_len int, loss double",
     )
     assert [tuple(r) for r in sc.choose_completion(df).collect()] == [(1, 1, 0)]
+
+
+def test_a_shared_model_leaves_no_tables_of_its_steps(spark, tmp_path):
+    """Of the steps below a written model only what other queries share stays, and the discounted rows are not written at all."""
+    import os
+
+    from tallyloom.plans import ngram_queries, registry
+    from tallyloom.session import checkpoint_root
+
+    spark.createDataFrame([(0, "a b a c\nb a"), (1, "c a b"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    checkpoint_root(spark)
+    folder = os.path.join(checkpoint_root(spark), "tables")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    model = ngram_queries.doc_lm(spark, str(tmp_path))
+    left = sorted(name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before)
+    assert left == ["contexts", "counts1", "counts2", "counts3", "discounts", "lm"]
+    assert model.count() == ngram_queries.doc_counts(spark, str(tmp_path)).count()
+    registry.forget_shared()
