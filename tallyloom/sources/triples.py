@@ -62,6 +62,24 @@ def write_triples(edges: DataFrame, path: str, mode: str = "mixed") -> None:
     triple_lines(edges, mode).select("line").write.text(path)
 
 
-def read_books(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file with its whole text."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+#: Ends a book of a file that holds several.
+BOOK_END = "\u0001"
+
+
+def write_books(books: DataFrame, path: str, id_col: str, text: str) -> None:
+    """Books as records ``id <line feed> text`` of a few files; rows of one id are one book.
+
+    A file per book costs the driver and the file system a folder entry each,
+    whatever the book's length.  The record's end mark is dropped from the texts.
+    """
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(text))), lambda s: F.coalesce(s[text], F.lit("")))  # one book
+    whole = books.groupBy(id_col).agg(F.array_join(parts, "").alias("__t"))
+    body = F.translate("__t", BOOK_END, "")
+    record = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\n"), body)
+    whole.select(record.alias("value")).write.option("lineSep", BOOK_END).text(path)
+
+
+def read_books(spark: SparkSession, path: str, end: str | None = None) -> DataFrame:
+    """One row per file with its whole text, or with ``end`` one row per record of files of many books."""
+    files = spark.read.text(path, wholetext=True) if end is None else spark.read.option("lineSep", end).text(path)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
