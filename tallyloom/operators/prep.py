@@ -197,16 +197,24 @@ def pack_tokens(df: DataFrame, shard: str, order: str, tokens: str, rows: int, l
 
 
 def char_occurrence_labels(df: DataFrame, keys: list[str], text: str, before_only: bool = True) -> DataFrame:
-    """Per text a string of digits: min(2, same characters before it | elsewhere)."""
-    chars = df.select(*keys, F.posexplode(F.split(text, "")).alias("pos", "ch")).filter("ch <> ''")
-    same = Window.partitionBy(*keys, "ch")
-    if before_only:
-        seen = F.row_number().over(same.orderBy("pos")) - 1
-    else:
-        seen = F.count(F.lit(1)).over(same) - 1
-    labelled = chars.select(*keys, "pos", F.least(F.lit(2), seen).cast("string").alias("d"))
-    parts = F.array_sort(F.collect_list(F.struct("pos", "d")))  # one text
-    return labelled.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda s: s["d"]), "").alias("labels"))
+    """Per text a string of digits: min(2, same characters before it | elsewhere).
+
+    A text is moved whole and its characters are sorted inside its row, so that
+    same characters are neighbours; rows of one key are labelled together.
+    """
+    texts = df.select(*keys, F.col(text).alias("__x")).groupBy(*keys).agg(F.collect_list("__x").alias("__x"))  # one text
+    chars = F.flatten(F.transform("__x", lambda x: F.transform(F.split(x, ""), lambda c, i: F.struct(c.alias("ch"), i.alias("pos")))))
+    # a generator of one element keeps the sort from being repeated for each character
+    ready = texts.select(*keys, F.explode(F.array(F.sort_array(F.filter(chars, lambda s: s["ch"] != "")))).alias("__c"))
+    around = (-2, -1) if before_only else (-2, -1, 1, 2)
+
+    def label(s: Column, i: Column) -> Column:
+        same = [(F.get("__c", i + k)["ch"] == s["ch"]) for k in around]
+        seen = sum((F.when(F.coalesce(x, F.lit(False)), 1).otherwise(0) for x in same), F.lit(0))
+        return F.struct(s["pos"].alias("pos"), F.least(F.lit(2), seen).cast("string").alias("d"))
+
+    labelled = ready.filter(F.size("__c") > 0).select(*keys, F.sort_array(F.transform("__c", label)).alias("__l"))
+    return labelled.select(*keys, F.array_join(F.transform("__l", lambda s: s["d"]), "").alias("labels"))
 
 
 def build_index(df: DataFrame, value: str, order: str) -> DataFrame:
