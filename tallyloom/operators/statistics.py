@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import rank_by_order
 from ..functions.stable import HASH_BITS, stable_hash
+from ..session import materialise
 
 
 def paired_join(a: DataFrame, b: DataFrame, key: str, value: str, weights: Sequence[str], order: str | None = None) -> DataFrame:
@@ -136,12 +137,24 @@ def bootstrap_ci(rows: DataFrame, id_col: str, value: str, rounds: int = 2000, s
     return _interval(_merged_means(parts, scale), rounds, level)
 
 
+DRAWS = 1 << 21  # draws of one task
+
+
 def bootstrap_ci_exact(rows: DataFrame, order: str, value: str, rounds: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
-    """Resampling with replacement for small tables: draw i of round r is row hash(r, i) mod n."""
-    ranked = rank_by_order(rows.select(order, F.col(value).cast("double").alias("__v")), [], [order], rank="__r", total="__n")
-    draws = ranked.select("__r", "__n", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("r"))
-    picked = draws.select("r", (F.pmod(_round_hash(F.col("__r"), F.col("r"), seed), F.col("__n")) + 1).alias("__r"))
-    means = picked.join(ranked.select("__r", "__v"), "__r").groupBy("r").agg(F.avg("__v").alias("m"))
+    """Resampling with replacement: draw i of round r is row hash(r, i) mod n.
+
+    A draw needs its number alone, so draws are made from a range that is cut by
+    their number and not by the size of the ranked table; each goes once to the
+    row it names, whose table is the hashed side of the join.
+    """
+    spark = rows.sparkSession
+    ranked = rank_by_order(rows.select(order, F.col(value).cast("double").alias("__v")), [], [order], rank="__r")
+    ranked = materialise(ranked.select("__r", "__v"), "ranked")
+    n = ranked.count()
+    numbers = spark.range(1, n + 1, 1, max(1, math.ceil(n * rounds / DRAWS)))
+    draws = numbers.select(F.col("id"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("r"))
+    picked = draws.select("r", (F.pmod(_round_hash(F.col("id"), F.col("r"), seed), F.lit(n)) + 1).alias("__r"))
+    means = picked.join(ranked.hint("shuffle_hash"), "__r").groupBy("r").agg(F.avg("__v").alias("m"))
     return _interval(means, rounds, level)
 
 
