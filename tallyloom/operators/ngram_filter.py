@@ -195,14 +195,21 @@ def filter_phrase(ngrams: DataFrame, phrases: DataFrame, mode: str = "union", ma
 def phrase_table_vocab(sentences: DataFrame, table: DataFrame, max_len: int = 7) -> DataFrame:
     """``(sent_id, word)``: target words reachable from each sentence plus its own words.
 
-    ``sentences(sent_id, tokens)``, ``table(source, target)``.
+    ``sentences(sent_id, tokens)``, ``table(source, target)``.  Only runs of a
+    length that a source of the table has are made, once per sentence row.
     """
-    own = sentences.select("sent_id", F.explode("tokens").alias("word"))
-    starts = sentences.filter(F.size("tokens") > 0).select(
-        "sent_id", "tokens", F.explode(F.sequence(F.lit(1), F.size("tokens"))).alias("__i")
-    )
-    room = F.least(F.lit(max_len), F.size("tokens") - F.col("__i") + 1)
-    runs = starts.select("sent_id", "tokens", "__i", F.explode(F.sequence(F.lit(1), room)).alias("__n"))
-    found = runs.select("sent_id", F.array_join(F.slice("tokens", F.col("__i"), F.col("__n")), " ").alias("source")).distinct()
-    reach = table.select("source", F.explode(F.filter(F.split("target", " "), lambda t: t != "")).alias("word")).distinct()
+    reach = materialise(table.select("source", F.explode(F.filter(F.split("target", " "), lambda t: t != "")).alias("word")).distinct(), "reach")
+    sizes = reach.select(F.size(F.split("source", " ")).alias("n")).distinct().filter(F.col("n") <= max_len)
+    sizes = sorted(r[0] for r in sizes.collect())  # at most max_len
+    own = sentences.select("sent_id", F.explode(F.array_distinct("tokens")).alias("word"))
+    if not sizes:
+        return own.distinct()
+
+    def runs(n: int) -> Column:
+        last = F.size("tokens") - n + 1
+        at = F.when(last > 0, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.array_join(F.slice("tokens", i, F.lit(n)), " "))
+
+    sources = F.array_distinct(F.concat(*[runs(n) for n in sizes]))
+    found = sentences.filter(F.size("tokens") > 0).select("sent_id", F.explode(sources).alias("source"))
     return own.unionByName(found.join(reach, "source").select("sent_id", "word")).distinct()
