@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,28 +45,50 @@ def shingled(df: DataFrame, keep: list[str], tokens: str, n: int) -> DataFrame:
     return ready.select(*keep, shingle_hashes(word_shingles(F.col("__tok"), n)).alias("__h"))
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def signature_128(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """128 minima of (a_i * h + b_i) mod PRIME per array of hashes, null for an empty one."""
-    a, b = coefficients(128)
-
-    def one(h):
-        if h is None or len(h) == 0:
-            return None
-        h = np.asarray(h, dtype=np.int64)
-        best = np.full(len(a), PRIME, dtype=np.int64)
-        for s in range(0, len(h), 4096):  # bounds the work array for very long texts
-            best = np.minimum(best, ((h[s : s + 4096, None] * a + b) % PRIME).min(axis=0))
-        return best.astype(np.int32)
-
-    for series in batches:
-        yield series.map(one)
-
-
-def minhash_signatures(df: DataFrame, id_col: str, tokens: str, n: int) -> DataFrame:
-    """``(id, sig)`` for texts with at least one token."""
-    hashed = shingled(df.filter(F.size(tokens) > 0), [id_col], tokens, n)
-    return hashed.select(id_col, signature_128("__h").alias("sig"))
+def token_hashes(tokens: list[bytes | None], n: int) -> np.ndarray:
+    """The values that ``shingle_hashes`` gives the ``word_shingles`` of one text, in the order of the text and with repeats."""
+    last = max(len(tokens) - n + 1, 1)
+    if None in tokens:
+        rows = [b" ".join(t for t in tokens[i : i + n] if t is not None) for i in range(last)]
+    else:  # a shingle is a part of the joined text
+        flat, sizes = b" ".join(tokens), np.fromiter(map(len, tokens), np.int64, len(tokens))
+        ends = np.cumsum(sizes + 1) - 1
+        starts = (ends - sizes)[:last].tolist()
+        rows = [flat[i:j] for i, j in zip(starts, ends[-last:].tolist(), strict=True)]
+    heads = b"".join([hashlib.md5(s, usedforsecurity=False).digest()[:4] for s in rows])
+    return np.frombuffer(heads, ">u4").astype(np.int64) % PRIME
+
+
+def minima(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Minima of (a_i * h + b_i) mod PRIME; a repeated hash changes none."""
+    best = np.full(len(a), PRIME, dtype=np.int64)
+    for s in range(0, len(h), 512):  # bounds the work arrays, which stay in the processor's cache
+        x = h[s : s + 512, None] * a + b
+        x -= x // PRIME * PRIME  # faster than the remainder
+        best = np.minimum(best, x.min(axis=0))
+    return best
+
+
+def minhash_signatures(df: DataFrame, id_col: str, tokens: str, n: int, m: int = 128) -> DataFrame:
+    """``(id, sig)`` for texts with at least one token; texts are unpacked one at a time."""
+    held = df.select(id_col, tokens)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = coefficients(m)
+        for batch in batches:
+            texts = batch.column(1).cast(pa.list_(pa.binary()))
+            places, sigs = [], []
+            for i, text in enumerate(texts):
+                words = text.values.to_numpy(zero_copy_only=False).tolist() if text.is_valid else []
+                if words:
+                    places.append(i)
+                    sigs.append(minima(token_hashes(words, n), a, b).astype(np.int32))
+            flat = pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int32))
+            ends = pa.array(np.arange(len(sigs) + 1, dtype=np.int32) * m)
+            ids = batch.column(0).take(pa.array(places, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(ends, flat)], names=[id_col, "sig"])
+
+    return held.mapInArrow(sign, T.StructType([held.schema[id_col], T.StructField("sig", T.ArrayType(T.IntegerType()))]))
 
 
 def minhash_of_rows(rows: DataFrame, key: str, hash_col: str, m: int = 128) -> DataFrame:
