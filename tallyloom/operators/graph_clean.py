@@ -8,6 +8,7 @@ from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +28,7 @@ CHAPTER_HEADER = r"^第(?:[一二三四五六七八九十百千0-9]+部分)?第?
 VOLUME_HEADER = r"^第[一二三四五六七八九十百千0-9]+卷\(\d+--\d+章\).+"
 DIGITS = {"零": 0, "一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 UNITS = {"十": 10, "百": 100, "千": 1000}
+HANDED = 1 << 20  # characters of chapters whose chunks a task holds at once
 UNTITLED = "第001回(无标题)"
 MISSING_TITLE, UNTITLED_FIRST = "第一回(缺失标题)", "第一回(无标题)"
 # fixed values: size estimate and sentence ends of the chunk rule
@@ -136,13 +138,27 @@ def chunk_chapter(body: str, limit: int, overlap: int, compat: bool) -> list[str
     return out
 
 
+def chunk_lists(bodies: Iterator[pa.Array], limit: int, overlap: int, compat: bool) -> Iterator[pa.Array]:
+    """The chunks of each chapter, handed on by ``HANDED`` characters: a batch of chapters has no such bound."""
+    for column in bodies:
+        made, held = [], 0
+        for body in column:
+            text = body.as_py() or ""
+            made.append(chunk_chapter(text, limit, overlap, compat))
+            held += len(text)
+            if held >= HANDED:
+                yield pa.array(made, pa.list_(pa.string()))
+                made, held = [], 0
+        if made:
+            yield pa.array(made, pa.list_(pa.string()))
+
+
 def chunk_text(chapters: DataFrame, limit: int = 6500, overlap: int = 350, compat: bool = False) -> DataFrame:
     """Chapters to ``chunk_idx, chunk_id, chunk``; row-wise, no shuffle."""
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def cut(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in bodies:
-            yield s.map(lambda b: chunk_chapter(b or "", limit, overlap, compat))
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def cut(bodies: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return chunk_lists(bodies, limit, overlap, compat)
 
     keep = [c for c in chapters.columns if c != "body"]
     made = chapters.select(*keep, cut("body").alias("cs"))
