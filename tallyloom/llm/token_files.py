@@ -20,8 +20,8 @@ hash to bits, those alone on theirs set it and are done, and the rank of a key's
 bit is its slot.  A lookup tests a bit per level, compares the fingerprint and
 slices the payload.
 
-Encoding calls the tokenizer once per distinct word of a worker where the
-tokenizer's rules allow that, see ``Encoder``.
+Encoding gives the tokenizer each distinct word of a worker once, many words in
+a call, where the tokenizer's rules allow that, see ``Encoder``.
 """
 
 from __future__ import annotations
@@ -50,6 +50,8 @@ FILE_BLOCKS = 32  # blocks of a file
 GAMMA = 2.0  # bits of a level per key that is left
 CACHED = 1 << 19  # words whose ids a worker remembers, twice
 LONGEST = 64  # characters of a word that is remembered
+TOGETHER = 1000  # words encoded in one call
+RUN_CHARS = 1 << 20  # characters of the texts whose words are looked up together
 LOOKUP = 1 << 16  # keys looked up in a block together
 BROADCAST = 1 << 18  # blocks whose numbers and bounds are sent to all executors at most
 STEP = 0x9E3779B97F4A7C15
@@ -70,20 +72,24 @@ class Words(dict):
         if ids is None:
             ids = self.whole(" " + word)
         if len(word) <= LONGEST:
-            if len(self) >= CACHED:
-                self.old = dict(self)
-                self.clear()
-            self[word] = ids
+            self.learn([(word, ids)])
         return ids
 
+    def learn(self, pairs: list[tuple[str, bytes]]) -> None:
+        if len(self) + len(pairs) > CACHED:
+            self.old = dict(self)
+            self.clear()
+        self.update(pairs)
+
 
 class Encoder:
     """Ids of texts by a tokenizer of the ``tokenizers`` library, without special tokens.
 
     A tokenizer that only splits at byte level, by its own pattern and without a
     normalizer, never joins a character with white space after it: text is cut
-    there, at blanks, and a word with the blank before it is encoded once.  Any
-    other tokenizer gets whole texts.
+    there, at blanks, and a word with the blank before it is encoded once.  New
+    words are encoded in one call as a text of their own, whose ids are dealt to
+    them by the bytes that ids stand for.  Any other tokenizer gets whole texts.
     """
 
     RUN = re.compile(r"\s ")  # a blank that white space stands before is no place to cut
@@ -93,21 +99,60 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.letter = {2: "H", 4: "I"}[width]
+        self.width, self.letter = width, {2: "H", 4: "I"}[width]
         self.by_word = splits_at_blanks(self.tokenizer)
         self.words = Words(self.whole)
+        self.sizes = id_bytes(self.tokenizer) if self.by_word else None
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
         return struct.pack(f"<{len(ids)}{self.letter}", *ids)
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
+        return self.several([text])[0]
+
+    def several(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
-            return self.whole(text)
-        first, *words = self.CUT.split(text) if self.RUN.search(text) else text.split(" ")
-        return b"".join([self.whole(first) if first else b"", *map(self.words.__getitem__, words)])
+            return [self.whole(text) if text else b"" for text in texts]
+        cut = [self.CUT.split(text) if self.RUN.search(text) else text.split(" ") for text in texts]
+        found = [list(map(self.words.get, words)) for words in cut]
+        self._prepare({w for words, ids in zip(cut, found, strict=True) for w, x in zip(words, ids, strict=True) if x is None})
+        out = []
+        for words, ids in zip(cut, found, strict=True):
+            ids[0] = self.whole(words[0]) if words[0] else b""  # no blank before it
+            out.append(b"".join([self.words[w] if x is None else x for w, x in zip(words, ids, strict=True)]))
+        return out
+
+    def _prepare(self, words: set[str]) -> None:
+        """Encode the words that are not remembered, but for those that a blank after them could be joined with."""
+        if self.sizes is None:
+            return
+        old, most = self.words.old, min(TOGETHER, CACHED)
+        new = [w for w in words if w not in old and len(w) <= LONGEST and w[-1:].strip()]
+        self.words.learn([(w, old[w]) for w in words if w in old])
+        for at in range(0, len(new), most):
+            some = new[at : at + most]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, f"<u{self.width}")
+            ends, stops = np.cumsum(self.sizes[ids]), np.cumsum([1 + len(w.encode()) for w in some])
+            last = np.searchsorted(ends, stops)
+            if len(ids) <= last[-1] or (ends[last] != stops).any():
+                return  # an id does not stand for its bytes: each word is encoded by itself
+            data, places = ids.tobytes(), [0, *((last + 1) * self.width).tolist()]
+            self.words.learn([(w, data[i:j]) for w, i, j in zip(some, places[:-1], places[1:], strict=True)])
+
+
+def id_bytes(tokenizer) -> np.ndarray | None:
+    """How many bytes of a text each id stands for; None where a byte may have no id."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    vocab = tokenizer.get_vocab()
+    if not all(c in vocab for c in ByteLevel.alphabet()):
+        return None
+    added = {i: len(t.content.encode()) for i, t in tokenizer.get_added_tokens_decoder().items()}
+    sizes = np.zeros(max(vocab.values()) + 1, np.int64)
+    for token, i in vocab.items():
+        sizes[i] = added.get(i, len(token))
+    return sizes
 
 
 def splits_at_blanks(tokenizer) -> bool:
@@ -251,6 +296,20 @@ def blocks_of(data) -> Iterator[Block]:
 # files
 
 
+def runs(batches) -> Iterator[list[tuple[int | None, str]]]:
+    """The rows in order, in lists of about ``RUN_CHARS`` characters."""
+    held, size = [], 0
+    for batch in batches:
+        for key, text in zip(batch.column(0), batch.column(1), strict=True):
+            held.append((key.as_py(), text.as_py()))
+            size += len(held[-1][1])
+            if size >= RUN_CHARS or len(held) >= BLOCK_RECORDS:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def write_tokens(
     docs: DataFrame, doc_id: str, text: str, path: str, tokenizer: str, end_id: int = END, block_ids: int = BLOCK_IDS, block_records: int = BLOCK_RECORDS, file_blocks: int = FILE_BLOCKS
 ) -> None:
@@ -271,10 +330,10 @@ def write_tokens(
         encoding = encoder(tokenizer, width)
         end = np.array([end_id], f"<u{width}").tobytes()
         keys, texts, held = [], [], 0
-        for batch in batches:
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = encoding(text.as_py()) + end
-                keys.append(key.as_py())
+        for run in runs(batches):
+            for (key, _), ids in zip(run, encoding.several([text for _, text in run]), strict=True):
+                ids += end
+                keys.append(key)
                 texts.append(ids)
                 held += len(ids) // width
                 if held >= block_ids or len(keys) >= block_records:
