@@ -20,7 +20,8 @@ hash to bits, those alone on theirs set it and are done, and the rank of a key's
 bit is its slot.  A lookup tests a bit per level, compares the fingerprint and
 slices the payload.
 
-Encoding gives the tokenizer each distinct word of a worker once, many words in
+Encoding looks up the distinct words of a run of texts and gives the tokenizer each
+distinct word of a worker once, many words in
 a call, where the tokenizer's rules allow that, see ``Encoder``.
 """
 
@@ -34,6 +35,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,7 +53,7 @@ GAMMA = 2.0  # bits of a level per key that is left
 CACHED = 1 << 19  # words whose ids a worker remembers, twice
 LONGEST = 64  # characters of a word that is remembered
 TOGETHER = 1000  # words encoded in one call
-RUN_CHARS = 1 << 20  # characters of the texts whose words are looked up together
+RUN_CHARS = 1 << 22  # characters of the texts whose distinct words are looked up together
 LOOKUP = 1 << 16  # keys looked up in a block together
 BROADCAST = 1 << 18  # blocks whose numbers and bounds are sent to all executors at most
 STEP = 0x9E3779B97F4A7C15
@@ -72,10 +74,10 @@ class Words(dict):
         if ids is None:
             ids = self.whole(" " + word)
         if len(word) <= LONGEST:
-            self.learn([(word, ids)])
+            self.learn({word: ids})
         return ids
 
-    def learn(self, pairs: list[tuple[str, bytes]]) -> None:
+    def learn(self, pairs: dict[str, bytes]) -> None:
         if len(self) + len(pairs) > CACHED:
             self.old = dict(self)
             self.clear()
@@ -114,31 +116,61 @@ class Encoder:
     def several(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return [self.whole(text) if text else b"" for text in texts]
-        cut = [self.CUT.split(text) if self.RUN.search(text) else text.split(" ") for text in texts]
-        found = [list(map(self.words.get, words)) for words in cut]
-        self._prepare({w for words, ids in zip(cut, found, strict=True) for w, x in zip(words, ids, strict=True) if x is None})
-        out = []
-        for words, ids in zip(cut, found, strict=True):
-            ids[0] = self.whole(words[0]) if words[0] else b""  # no blank before it
-            out.append(b"".join([self.words[w] if x is None else x for w, x in zip(words, ids, strict=True)]))
-        return out
-
-    def _prepare(self, words: set[str]) -> None:
+        column = pa.array(texts, pa.large_string())
+        cut = pc.split_pattern(column, " ")
+        if any(map(self.RUN.search, texts)):
+            cut = pa.array([self.CUT.split(text) if self.RUN.search(text) else words for text, words in zip(texts, cut.to_pylist(), strict=True)], pa.large_list(pa.large_string()))
+        first = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        met = cut.flatten().dictionary_encode()
+        at = met.indices.to_numpy().astype(np.int64)
+        ids = self._known(met.dictionary.to_numpy(zero_copy_only=False).tolist())
+        # the first word of a text has no blank before it
+        names = met.dictionary.take(pa.array(at[first[:-1]])).to_pylist()
+        at[first[:-1]] = len(ids) + np.arange(len(texts))
+        ids += [self.whole(word) if word else b"" for word in names]
+        return _dealt(ids, at, first, self.width)
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words with a blank before each."""
+        found = list(map(self.words.get, words))
+        missed = [w for w, ids in zip(words, found, strict=True) if ids is None]
+        if not missed:
+            return found
+        self._prepare(missed)
+        rest = map(self.words.__getitem__, missed)
+        return [next(rest) if ids is None else ids for ids in found]
+
+    def _prepare(self, words: list[str]) -> None:
         """Encode the words that are not remembered, but for those that a blank after them could be joined with."""
         if self.sizes is None:
             return
         old, most = self.words.old, min(TOGETHER, CACHED)
-        new = [w for w in words if w not in old and len(w) <= LONGEST and w[-1:].strip()]
-        self.words.learn([(w, old[w]) for w in words if w in old])
+        met = {w: old[w] for w in words if w in old}
+        new = [w for w in words if w not in met and len(w) <= LONGEST and not w[-1:].isspace() and w]
+        if met:
+            self.words.learn(met)
         for at in range(0, len(new), most):
             some = new[at : at + most]
             ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, f"<u{self.width}")
-            ends, stops = np.cumsum(self.sizes[ids]), np.cumsum([1 + len(w.encode()) for w in some])
+            stops = np.cumsum(1 + pc.binary_length(pa.array(some, pa.string())).to_numpy())
+            ends = np.cumsum(self.sizes[ids])
             last = np.searchsorted(ends, stops)
             if len(ids) <= last[-1] or (ends[last] != stops).any():
                 return  # an id does not stand for its bytes: each word is encoded by itself
-            data, places = ids.tobytes(), [0, *((last + 1) * self.width).tolist()]
-            self.words.learn([(w, data[i:j]) for w, i, j in zip(some, places[:-1], places[1:], strict=True)])
+            data, places = ids.tobytes(), ((last + 1) * self.width).tolist()
+            self.words.learn(dict(zip(some, [data[i:j] for i, j in zip([0, *places[:-1]], places, strict=True)], strict=True)))
+
+
+def _dealt(ids: list[bytes], at: np.ndarray, first: np.ndarray, width: int) -> list[bytes]:
+    """For each text the ids of its words; ``at``: the words' numbers, ``first``: the first word of each text and the end."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+    begin = np.cumsum(sizes) - sizes
+    n = sizes[at]
+    upto = np.concatenate([[0], np.cumsum(n)])
+    source = np.repeat(begin[at] - upto[:-1], n) + np.arange(upto[-1])
+    data = np.frombuffer(b"".join(ids), f"<u{width}")[source].tobytes()
+    ends = (upto[first] * width).tolist()
+    return [data[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def id_bytes(tokenizer) -> np.ndarray | None:

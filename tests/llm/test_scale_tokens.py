@@ -37,3 +37,12 @@ def test_ids_of_unknown_length_are_found_word_by_word():
     other = tf.Encoder(BPE, 2)
     other.sizes = other.sizes + (np.arange(len(other.sizes)) % 2)
     assert other.several(texts) == want
+
+
+def test_a_word_of_many_texts_is_looked_up_once():
+    texts = ["one two three two", "", "  two\n three  one ", "three one two"] * 50
+    encode, asked = tf.Encoder(BPE, 4), []
+    encode.words.get = lambda word: asked.append(word) or dict.get(encode.words, word)
+    want = [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in encode.several(texts)] == want
+    assert len(asked) == len(set(asked))
