@@ -47,6 +47,7 @@ BLOCK = 4_000_000  # elements counted together
 BROADCAST = 500_000  # rows of four numbers that are sent to all executors at most
 SHORT = 64  # members of a list up to which they are not parted into bands of similar size
 FEW_PAIRS = 64  # open pairs per list member from which on more centres pay
+BEFORE = 16  # lists of a set before each of its lists that are known there: a pair that shares one has met
 
 
 def common_needed(m: int, n: int, percent: int) -> int:
@@ -353,10 +354,12 @@ def _components(source: DataFrame, k: int, percent: int) -> DataFrame:
 
     if not named.isEmpty():
         band = F.floor(F.log("n") / math.log(100 / percent) + 1e-9)
-        known = named.join(about.select("node", "counts"), "node").select("key", "node", "component", "n", "lacks", "counts", "all")
-        short = known.filter(F.col("all") <= SHORT).withColumn("band", F.lit(0).cast("bigint"))
-        long = known.filter(F.col("all") > SHORT).withColumn("band", F.explode(F.array(band, band + 1)))
-        labels, _ = _joined(labels, verify(_meet(short.unionByName(long), percent)))
+        before = Window.partitionBy("node").orderBy("lacks", "key").rowsBetween(-BEFORE, -1)
+        known = named.select("key", "node", "component", "n", "lacks", "all", F.collect_list("key").over(before).alias("met")).join(about.select("node", "counts"), "node")
+        known = known.withColumn("own", F.when(F.col("all") > SHORT, band).otherwise(0)).select("key", "node", "component", "n", "lacks", "counts", "all", "met", "own")
+        short = known.filter(F.col("all") <= SHORT).withColumn("band", F.col("own"))
+        long = known.filter(F.col("all") > SHORT).withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
+        labels, _ = _joined(labels, verify(_meet(short.unionByName(long), percent).distinct()))
     of = kinds.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of.groupBy("component").agg(F.min("least").alias("first"))
     of = of.join(least, "component").select("s1", "s2", "n", "first")
@@ -401,19 +404,28 @@ def one_of_each(docs: DataFrame, doc_id: str, text: str, k: int = SHINGLE, perce
 
 
 def _meet(banded: DataFrame, percent: int) -> DataFrame:
-    """``(a, na, b, nb)`` of different components in one list and band that may link.
+    """``(a, na, b, nb)`` of different components in one list and band that may link; a pair may come several times.
 
     In the first list that two linked sets share, in the common order of the
     lists, each has ``lacks`` posted elements that the other has not posted.  The
     one whose posted elements end earlier holds none of them in the other, so
     either set has enough elements left for the link.
+
+    A pair that shares one of the lists before this one, ``met``, meets there,
+    where it lacks less; so it is left out here, and sets that share hundreds of
+    lists make a few rows.  The first list of a pair has none before it.
     """
-    left = banded.select("key", "band", F.col("node").alias("a"), F.col("component").alias("pa"), F.col("n").alias("na"), F.col("lacks").alias("la"), F.col("counts").alias("ca"))
-    right = banded.select("key", "band", F.col("node").alias("b"), F.col("component").alias("pb"), F.col("n").alias("nb"), F.col("lacks").alias("lb"), F.col("counts").alias("cb"))
+
+    def side(x: str) -> DataFrame:
+        names = {"node": x, "component": f"p{x}", "n": f"n{x}", "lacks": f"l{x}", "counts": f"c{x}", "met": f"m{x}", "own": f"o{x}"}
+        return banded.select("key", "band", *[F.col(c).alias(name) for c, name in names.items()])
+
     left_over = F.greatest(F.col("na") - F.col("la"), F.col("nb") - F.col("lb")).cast("bigint")
     room = left_over * (100 + percent) >= (F.col("na") + F.col("nb")).cast("bigint") * percent
-    met = left.join(right, ["key", "band"]).filter((F.col("a") > F.col("b")) & (F.col("pa") != F.col("pb")) & room & _possible(percent))
-    return met.select("a", "na", "b", "nb").distinct()
+    once = F.col("band") == F.greatest("oa", "ob")  # neighbouring bands share one, equal ones two
+    different = (F.col("a") > F.col("b")) & (F.col("pa") != F.col("pb"))
+    met = side("a").join(side("b"), ["key", "band"]).filter(different & once & room & _possible(percent) & ~F.arrays_overlap("ma", "mb"))
+    return met.select("a", "na", "b", "nb")
 
 
 @register("op7_jaccard_join")
